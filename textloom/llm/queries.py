@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, packing, quality
+from . import langid, linefreq, minhash, packing, quality, sharding
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op4_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_mixtures(table(spark, sf_dir, "documents"))
 
 
+def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linefreq.remove_frequent(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -31,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_virtual_slots": sharding.ORACLE, "op7_line_frequency": linefreq.ORACLE}
