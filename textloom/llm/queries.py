@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linefreq, minhash, packing, quality, sharding
+from . import langid, linefreq, minhash, packing, quality, sharding, urlfilter, warc
 from .common import table
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.decide(table(spark, sf_dir, "pages"), urlfilter.default_entries(spark))
+
+
 def op4_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_mixtures(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"), warc.DATE))
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -39,4 +47,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_virtual_slots": sharding.ORACLE, "op7_line_frequency": linefreq.ORACLE}
+    return {"op2_url_filter": urlfilter.ORACLE, "op5_warc_derivatives": warc.ORACLE, "op6_virtual_slots": sharding.ORACLE, "op7_line_frequency": linefreq.ORACLE}
