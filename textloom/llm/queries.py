@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, linefreq, minhash, packing, quality, sharding, urlfilter, warc
+from . import bpe, langid, linefreq, minhash, packing, quality, sharding, urlfilter, warc
 from .common import table
 
 
@@ -14,6 +15,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.decide(table(spark, sf_dir, "pages"), urlfilter.default_entries(spark))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's tokens, and the hash of the text that they decode to."""
+    back = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", "n_tokens", "token_ids", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op4_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_mixtures(table(spark, sf_dir, "documents"))
 
