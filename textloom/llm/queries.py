@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linefreq, minhash, packing, quality, sharding, urlfilter, warc
+from . import ann, bpe, langid, linefreq, minhash, packing, quality, sharding, urlfilter, warc
 from .common import table
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.decide(table(spark, sf_dir, "pages"), urlfilter.default_entries(spark))
 
