@@ -103,12 +103,14 @@ def count_patterns(data: bytes) -> dict[bytes, int]:
     """Occurrences, overlapping ones too, of each run of 4 to 32 bytes that occurs 3 times and begins acceptably."""
     found: dict[bytes, int] = {}
     n = len(data)
+    starts = [i for i, b in enumerate(data) if b >= 32 or b == 10 or b == 13 and i]
     for size in range(MIN_PATTERN, min(MAX_PATTERN, n // 2) + 1):
-        counts = Counter(data[i : i + size] for i in range(n - size + 1) if data[i] >= 32 or data[i] == 10 or data[i] == 13 and i)
-        frequent = {p: c for p, c in counts.items() if c >= MIN_COUNT}
+        runs = [data[i : i + size] for i in starts]
+        frequent = {p: c for p, c in Counter(runs).items() if c >= MIN_COUNT and len(p) == size}
         if not frequent:
-            break  # a longer run occurs no more often than what it begins with
+            break
         found |= frequent
+        starts = [i for i, r in zip(starts, runs) if r in frequent]  # a run is no more frequent than what it begins with
     return found
 
 
@@ -481,7 +483,12 @@ def order1_tables(data: bytes) -> dict[int, list[int]]:
     pairs: dict[int, Counter] = {}
     for a, b in zip(b"\x00" + data, data):
         pairs.setdefault(a, Counter())[b] += 1
-    return {a: normalise([c.get(s, 0) for s in range(256)]) for a, c in sorted(pairs.items())}
+    out = {}
+    for a, c in sorted(pairs.items()):
+        used, out[a] = sorted(c), [0] * 256
+        for s, f in zip(used, normalise([c[s] for s in used])):
+            out[a][s] = f
+    return out
 
 
 def dump_order1(tables: dict[int, list[int]]) -> bytes:

@@ -29,9 +29,12 @@ def streams(df: DataFrame, text_col: str, patterns: list[str] = TEXT_PATTERNS) -
 def rebuilt(toks: Column, lits: Column, runs: Column, patterns: list[str] = TEXT_PATTERNS) -> Column:
     """The byte view that the streams came from."""
     words = F.array(*(F.lit(p) for p in patterns))
-    ends = F.transform(runs, lambda r, i: F.aggregate(F.slice(runs, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x))
-    pieces = F.transform(runs, lambda r, i: F.concat(F.substring(lits, F.get(ends, i) - r + 1, r), F.coalesce(F.element_at(words, F.get(toks, i)), F.lit(""))))
-    return F.array_join(pieces, "")
+    step = F.arrays_zip(runs.alias("r"), toks.alias("t"))
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+    more = lambda s, x: F.struct(
+        (s["at"] + x["r"]).alias("at"), F.concat(s["out"], F.substring(lits, s["at"], x["r"]), F.coalesce(F.get(words, x["t"] - 1), F.lit(""))).alias("out")
+    )
+    return F.aggregate(step, start, more, lambda s: s["out"])
 
 
 def byte_udf(f, kind: DataType | str):
