@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import coding, mining  # noqa: F401
+from . import analytics, coding, corpora, metering, mining  # noqa: F401
 from .coding import split_v4_totals
 
 __all__ = ["split_v4_totals"]

@@ -1 +1,95 @@
-"""."""
+"""Queries of corpus preparation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textloom.functions import bytesview as B
+from textloom.operators import shards
+from textloom.sources import corpus
+
+from .coding import turns
+from .registry import query
+
+_STOPS = ", ".join(f"'{w}'" for w in B.STOP_WORDS)
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations WHERE trim(text) <> ''),
+ s AS (SELECT conv_id, r, k, text AS open, CAST(NULL AS VARCHAR) AS flushed FROM t WHERE r = 1
+  UNION ALL SELECT t.conv_id, t.r, t.k, CASE WHEN length(s.open) + length(t.text) < 800 THEN s.open || ' | ' || t.text ELSE t.text END,
+   CASE WHEN length(s.open) + length(t.text) < 800 THEN NULL ELSE s.open END FROM s JOIN t ON t.conv_id = s.conv_id AND t.r = s.r + 1),
+ f AS (SELECT conv_id, r AS spot, flushed AS text FROM s WHERE flushed IS NOT NULL UNION ALL SELECT conv_id, r + 1, open FROM s WHERE r = k)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY spot) - 1 AS INT) AS place, text FROM f""")
+def chunk_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.fused(turns(spark, sf_dir), "conv_id", "turn", "text")
+
+
+@query("""WITH d AS (SELECT doc_id, text, unnest(generate_series(0, CAST(ceil(length(text) / 1024.0) AS BIGINT) - 1)) AS chunk FROM documents WHERE length(text) > 0)
+SELECT doc_id, CAST(chunk AS INT) AS chunk, length(substr(text, chunk * 1024 + 1, 1024)) AS n_chars, sha256(substr(text, chunk * 1024 + 1, 1024)) AS chunk_sha256 FROM d""")
+def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus.chunks(docs(spark, sf_dir), ["doc_id"], F.col("text"), 1024)
+    return c.select("doc_id", "chunk", F.length("data").cast("long").alias("n_chars"), F.sha2(F.encode("data", "UTF-8"), 256).alias("chunk_sha256"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents) WHERE p % greatest(1, n // 200) = 0")
+def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.every(docs(spark, sf_dir).select("doc_id"), ["doc_id"], 200)
+
+
+@query("SELECT conv_id, turn FROM conversations ORDER BY sha256('42:' || conv_id || ':' || turn), conv_id, turn LIMIT 100")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampling operator: 100 turns."""
+    return corpus.sample(turns(spark, sf_dir), ["conv_id", "turn"], 42, 100).select("conv_id", "turn")
+
+
+@query("SELECT role, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations WHERE length(text) > 200 AND length(text) < 3000 GROUP BY role")
+def length_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir).where((F.length("text") > 200) & (F.length("text") < 3000))
+    return t.groupBy("role").agg(F.count("*").alias("turns"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
+@query("WITH b AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS batch, text FROM conversations) SELECT conv_id, CAST(batch AS INT) AS batch, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM b GROUP BY ALL HAVING count(*) = 3")
+def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full batches of three turns."""
+    b = shards.batches(turns(spark, sf_dir), "conv_id", "turn", 3).groupBy("conv_id", "batch").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+    return b.where("n = 3").drop("n")
+
+
+@query("SELECT part, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM (SELECT CASE WHEN row_number() OVER (ORDER BY conv_id, turn) <= 400 THEN 'train' ELSE 'test' END AS part, text, row_number() OVER (ORDER BY conv_id, turn) AS r FROM conversations) WHERE r <= 700 GROUP BY part")
+def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 400 turns train, the next 300 test: the split is by position."""
+    r = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("conv_id", "turn"))
+    t = turns(spark, sf_dir).withColumn("r", r).where("r <= 700").withColumn("part", F.when(F.col("r") <= 400, "train").otherwise("test"))
+    return t.groupBy("part").agg(F.count("*").alias("turns"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9'']{{2,}}')) AS word FROM documents) WHERE word NOT IN ({_STOPS}) GROUP BY word")
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select(F.explode(B.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN octet_length(encode(text)) > 1500 THEN 'too_large' ELSE 'ok' END AS status FROM conversations""")
+def input_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.coalesce(F.col("text"), F.lit("")) == "", "empty").when(F.octet_length("text") > 1500, "too_large").otherwise("ok")
+    return turns(spark, sf_dir).select("conv_id", "turn", status.alias("status"))
+
+
+@query("SELECT conv_id, turn, sha256(text) AS restored_sha256, length(to_base64(encode(text))) AS coded_chars FROM conversations")
+def base64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The service's payload form."""
+    c = turns(spark, sf_dir).withColumn("code", F.base64(F.encode("text", "UTF-8")))
+    return c.select("conv_id", "turn", F.sha2(F.unbase64("code"), 256).alias("restored_sha256"), F.length(F.regexp_replace("code", "[\r\n]", "")).cast("long").alias("coded_chars"))
+
+
+@query("SELECT c_custkey, sha256(c_name) AS restored_sha256, true AS hidden FROM customer")
+def field_encryption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AES-256-CBC with a fresh IV a value, and back."""
+    key = F.lit("0123456789abcdef0123456789abcdef")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("coded", F.aes_encrypt("c_name", key, F.lit("CBC"), F.lit("PKCS")))
+    back = F.aes_decrypt("coded", key, F.lit("CBC"), F.lit("PKCS"))
+    return c.select("c_custkey", F.sha2(back, 256).alias("restored_sha256"), (F.octet_length("coded") > F.octet_length("c_name")).alias("hidden"))
