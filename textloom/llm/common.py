@@ -18,6 +18,18 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+#: Rows of an Arrow batch; texts may be long, and every task holds a batch on either side.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Keeps the Arrow batches of the session's Python stages small, unless they are smaller already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is not None and not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

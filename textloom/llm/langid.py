@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _LOWER, text_slices, written
+from .common import _LOWER, bounded, text_slices, written
 
 BITS = 16
 UNKNOWN = "und"
@@ -183,6 +183,7 @@ def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
     first in alphabetical order. Rows that repeat are judged alike; null ids are judged but not fitted on. The table may
     be empty and have any further columns.
     """
+    bounded(docs.sparkSession)
     languages, p = fit(docs, id_col, text_col, lang_col, rows_per_language, smoothing, seed)
     at = {c: i for i, c in enumerate(dict.fromkeys([*keep, text_col]))}
     slim = docs.select(*(docs[c] for c in at))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import if_small, written
+from .common import bounded, if_small, written
 
 #: So many frequent lines at most are broadcast, at eight bytes each; beyond that they are joined.
 BROADCAST_LINES = 4_000_000
@@ -81,6 +81,7 @@ def remove_frequent(docs: DataFrame, text_col: str = "text", host_col: str = "so
     limit stays. The table may be empty; columns that clash with n_lines or n_removed keep their place before them.
     """
     spark = docs.sparkSession
+    bounded(spark)
     keep = keep or docs.columns
     bad = written(frequent_lines(docs, host_col, text_col, least_docs, share), "lines")
     n = bad.count()
@@ -96,7 +97,7 @@ def remove_frequent(docs: DataFrame, text_col: str = "text", host_col: str = "so
         marked = numbered.select("row", F.explode("lines").alias("line")).join(bad, "line", "left_semi").groupBy("row").agg(F.collect_set("line").alias("hits"))
         joined = numbered.join(if_small(marked, marked.count()), "row", "left")
         hit = F.coalesce("hits", F.array().cast("array<long>"))
-        slim = joined.select(*(c for c in slim.columns if c != "lines"), F.transform("lines", lambda x: F.when(F.array_contains(hit, x), F.lit(1)).cast("long")).alias("lines"))
+        slim = joined.select(*(c for c in slim.columns if c != "lines"), F.transform("lines", lambda x: F.when(x.isNotNull(), F.array_contains(hit, x).cast("long"))).alias("lines"))
         values = np.ones(1, np.int64)
     else:
         values = np.sort(bad.select("line").distinct().toPandas()["line"].to_numpy(np.int64))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, if_small, mix, shingles, text_slices, written
+from .common import U64, bounded, if_small, mix, shingles, text_slices, written
 
 #: log2 of the hashed shingle universe that sigma and pi permute.
 UNIVERSE_BITS = 20
@@ -142,6 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id is left out. Rows that repeat an id are one document with all their texts. Texts of fewer than k words count as
     one shingle. Ties go to the smallest id; the table may be empty and have any further columns.
     """
+    bounded(docs.sparkSession)
     data = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     signed = written(data.mapInArrow(_sign(k, bands * rows, bands, seed), "id long, key binary, bins array<long>"), "signatures")
 

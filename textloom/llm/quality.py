@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, _power_tables, if_small, mix, text_slices, written
+from .common import U64, _power_tables, bounded, mix, text_slices, written
 
 #: Log ratios are integers of this many units, so that a document's sum doesn't depend on its neighbours.
 UNITS = 1 << 16
@@ -152,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     fit); raw: all documents. k is the number of documents whose weight reaches the (1 - recall) quantile of the target
     documents' weights, so it follows the share of target-like text in the input.
     """
+    bounded(docs.sparkSession)
     # The bound: a uniform sample by hash of the id, the same whatever the partitioning.
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good")).distinct()
     good = written(good.join(docs.select(F.col(id_col).cast("long").alias("there")).distinct(), F.col("good") == F.col("there"), "left_semi").orderBy(F.xxhash64("good", F.lit(seed)), "good").limit(target_rows), "target")
