@@ -58,9 +58,10 @@ def _means(x: np.ndarray, centroids: np.ndarray, rounds: int) -> tuple[np.ndarra
 
 
 def split(x: np.ndarray, size: int) -> np.ndarray:
-    """Centroids of lists of about size vectors: k-means, then lists of over twice the size are split again."""
+    """Centroids of lists of about size vectors: k-means, then lists of over twice the size are split again. The last
+    number of each row is how many vectors it stands for."""
     if len(x) <= size or (x == x[0]).all():
-        return x.mean(0, keepdims=True)
+        return np.c_[x.mean(0, keepdims=True), len(x)].astype(np.float32)
     k = max(2, ceil(len(x) / size))
     centroids, at = _means(x, x[np.linspace(0, len(x) - 1, k).astype(int)].copy(), 6)
     out = []
@@ -69,21 +70,22 @@ def split(x: np.ndarray, size: int) -> np.ndarray:
         if len(own) > 2 * size and len(own) < len(x):
             out.append(split(own, size))
         elif len(own):
-            out.append(centroids[c : c + 1])
+            out.append(np.c_[centroids[c : c + 1], len(own)].astype(np.float32))
     return np.concatenate(out)
 
 
 class Graph:
     """Centroids, and for each the numbers of its nearest others and of a few far ones."""
 
-    def __init__(self, centroids: np.ndarray, links: np.ndarray):
-        self.centroids, self.links = centroids, links
+    def __init__(self, centroids: np.ndarray, links: np.ndarray, sizes: np.ndarray):
+        self.centroids, self.links, self.sizes = centroids, links, sizes
         self.norms = (centroids**2).sum(1)
         self.entries = np.unique(np.linspace(0, len(centroids) - 1, min(len(centroids), 32)).astype(int))
         self.stamp, self.turn = np.full(len(centroids), -1, np.int64), 0
 
     def search(self, q: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids within ratio x the nearest one's distance, and least at least, nearest first; their distances)."""
+        """(centroids, nearest first; their distances): all that are met while looking for those within ratio x the
+        nearest one's distance, and for least at least."""
         self.turn += 1
         own = float(q @ q)
         fresh, heap, found, best, seen = self.entries, [], [], np.inf, []
@@ -106,9 +108,7 @@ class Graph:
                 break
         at, d = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((at, d))
-        at, d = at[order], d[order]
-        n = int((d <= ratio * d[0] + 1e-6).sum())
-        return at[:n], d[:n]
+        return at[order], d[order]
 
 
 def link(centroids: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -127,8 +127,8 @@ def link(centroids: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def build(vectors: DataFrame, n: int, dim: int, list_size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, links) over all vectors (id, v)."""
+def build(vectors: DataFrame, n: int, dim: int, list_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centroids, links, sizes) over all vectors (id, v)."""
     spark = vectors.sparkSession
     size = max(list_size, ceil(n * dim * 4 / CENTROID_BYTES))
     tops = ceil(n / GROUP)
@@ -166,6 +166,7 @@ def build(vectors: DataFrame, n: int, dim: int, list_size: int) -> tuple[np.ndar
     lists = written(tops_placed.groupBy("top").applyInArrow(divide, "c array<float>"), "centroids")
     found = matrix(lists.toArrow().column("c"))
     found = found[np.lexsort(found.T)]
+    found, sizes = np.ascontiguousarray(found[:, :dim]), found[:, dim]
     everything = spark.sparkContext.broadcast(found)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,7 @@ def build(vectors: DataFrame, n: int, dim: int, list_size: int) -> tuple[np.ndar
             yield pa.RecordBatch.from_arrays([batch.column(0), lists_of(link(everything.value, rows))], ["id", "links"])
 
     linked = spark.range(len(found)).mapInArrow(links, "id long, links array<long>").toArrow().sort_by("id")
-    return found, linked.column("links").combine_chunks().flatten().to_numpy().reshape(len(found), -1)
+    return found, linked.column("links").combine_chunks().flatten().to_numpy().reshape(len(found), -1), sizes
 
 
 def _top(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +241,8 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             lists, held = [], []
             for q in matrix(batch.column(1)):
                 at, d = graph.search(q, max(query_ratio, replica_ratio), 32)
-                lists.append(at[d <= query_ratio * d[0] + 1e-6])
+                enough = int(np.searchsorted(np.cumsum(graph.sizes[at]), 4 * (k + 1))) + 1  # small lists: more of them
+                lists.append(at[: max(enough, int((d <= query_ratio * d[0] + 1e-6).sum()))])
                 held.append(at[: min(replicas, int((d <= replica_ratio * d[0] + 1e-6).sum()))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.int64()))], ["id", "v", "reads", "held"])
 
