@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded
+
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Texts of about this many characters are replayed together.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
 #: A worker forgets its words when it holds more than this many.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -205,23 +207,48 @@ def _encoder(shared, pattern: str) -> Encoder:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for batch in batches:
-        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy())
-        row = 0
-        while row < batch.num_rows:
-            end = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + BLOCK_CHARS, "right")))
-            part = batch.slice(row, end - row)
-            yield part, [t or "" for t in part.column(at).to_pylist()]
-            row = end
+    """Runs of whole batches of about BLOCK_CHARS characters, each with its texts; null counts as empty."""
+    held, texts, chars = [], [], 0
 
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = DEFAULT_VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        fresh = [t or "" for t in batch.column(at).to_pylist()]
+        texts += fresh
+        chars += sum(map(len, fresh))
+        if chars >= BLOCK_CHARS:
+            yield joined(), texts
+            held, texts, chars = [], [], 0
+    if held:
+        yield joined(), texts
+
+
+def decoded(v: Vocabulary, lists: pa.Array) -> pa.Array:
+    """The texts of lists of ids; an id that the vocabulary doesn't have raises."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+    ids = lists.flatten().to_numpy()
+    n = v.lengths[ids]
+    if len(n) and not n.all():
+        raise ValueError("a token id isn't in the vocabulary")
+    ends = np.r_[0, np.cumsum(n)]
+    data = v.flat[np.arange(ends[-1]) + np.repeat(v.starts[ids] - ends[:-1], n)].tobytes()
+    cuts = ends[np.r_[0, np.cumsum(sizes)]].tolist()
+    return pa.array([data[a:b].decode("utf-8", "replace") if ok else None for a, b, ok in zip(cuts, cuts[1:], lists.is_valid().to_pylist())], pa.string())
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = DEFAULT_VOCABULARY, pattern: str = PATTERN, back: bool = False) -> DataFrame:
     """(doc_id, n_tokens, token_ids) for every row, the ids as the vocabulary's own tokenizer gives them.
 
+    With back there is text as well, what the ids decode to: one Python stage where decode would take a second.
     A null text has null ids and 0 tokens, an empty one no ids; rows that repeat are encoded alike, null ids are kept. The
     strings of special tokens are ordinary text. Words of equal bytes have equal tokens, so there are no ties. The table
     may be empty and have any further columns. What is broadcast is the vocabulary.
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +257,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, v
             null = part.column(1).is_null().to_numpy(zero_copy_only=False)
             for a, b, ids, sizes in encoder.encode(texts):
                 offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), mask=np.r_[null[a:b], False])
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], ["doc_id", "n_tokens", "token_ids"])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+                for row in range(0, b - a, 512):
+                    own = lists.slice(row, 512)
+                    columns = [part.column(0).slice(a + row, len(own)), pa.array(sizes[row : row + 512].astype(np.int32)), own, *([decoded(encoder.vocabulary, own)] if back else [])]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "token_ids", "text"][: len(columns)])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens int, token_ids array<int>")
+    return slim.mapInArrow(run, "doc_id long, n_tokens int, token_ids array<int>" + ", text string" * back)
 
 
 def decode(encoded: DataFrame, *, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -241,24 +272,14 @@ def decode(encoded: DataFrame, *, vocabulary: str = DEFAULT_VOCABULARY) -> DataF
 
     Null ids give a null text, no ids an empty one; an id that is null or that the vocabulary doesn't have raises.
     """
+    bounded(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary))
     at = encoded.columns.index("token_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
         for batch in batches:
             for row in range(0, batch.num_rows, 512):
                 part = batch.slice(row, 512)
-                lists = part.column(at)
-                sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
-                ids = lists.flatten().to_numpy()
-                n = v.lengths[ids]
-                if len(n) and not n.all():
-                    raise ValueError("a token id isn't in the vocabulary")
-                ends = np.r_[0, np.cumsum(n)]
-                data = v.flat[np.arange(ends[-1]) + np.repeat(v.starts[ids] - ends[:-1], n)].tobytes()
-                cuts = ends[np.r_[0, np.cumsum(sizes)]].tolist()
-                texts = [data[a:b].decode("utf-8", "replace") if ok else None for a, b, ok in zip(cuts, cuts[1:], lists.is_valid().to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded(shared.value, part.column(at))], [*part.schema.names, "text"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))

@@ -21,7 +21,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's tokens, and the hash of the text that they decode to."""
-    back = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    back = bpe.encode(table(spark, sf_dir, "documents"), back=True)
     return back.select("doc_id", "n_tokens", "token_ids", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
