@@ -233,13 +233,13 @@ def residual(coded: bytes) -> bytes:
 
 
 LOG_MARKS = (b"Traceback", b"FATAL", b"stack trace", b"Error:", b"Exception:", b"[DEBUG]", b"[INFO]", b"[WARN]", b"[ERROR]")
-_FIELDS = "status error data message timestamp id type name".split()
-_WORDS = "the and of to in is for it be that with this are as was have not from or an can you we they which will on at by but".split()
+_FIELDS = "data error id message name status timestamp type".split()
+_WORDS = "an and are as at be but by can for from have in is it not of on or that the they this to was we which will with you".split()
 PRESEED = {
     "json": [b":null", b":true", b":false", b'{"', b'":"', b'","', *(f'"{x}":'.encode() for x in _FIELDS)],
     "text": [b" " * 4, b" " * 8, b"\n\n", *(f" {x} ".encode() for x in _WORDS)],
     "log": [*LOG_MARKS[3:][::-1], b"stack trace", b"Warning:", b"at ", b"caused by"],
-    "mixed": [b":null", b":true", b":false", b'{"', b'":"', b'","', *(f'"{x}":"'.encode() for x in ("role", "content", "value", "from")), *(f'"{x}"'.encode() for x in ("user", "assistant", "human", "gpt")), *(f" {x} ".encode() for x in [*_WORDS, "do", "so", "if", "my", "use", "how", "what"])],
+    "mixed": [b":null", b":true", b":false", b'{"', b'":"', b'","', *(f'"{x}":"'.encode() for x in ("role", "content", "value", "from")), *(f'"{x}"'.encode() for x in ("user", "assistant", "human", "gpt")), *(f" {x} ".encode() for x in sorted([*_WORDS, *"do how if my so use what".split()]))],
 }
 
 

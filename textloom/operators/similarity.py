@@ -24,4 +24,4 @@ def earlier_top_k(rows: DataFrame, pos: str, vec: str, k: int, over: float, reac
     q = rows.select(F.col(pos).alias("query"), F.col(vec).alias("q"), F.explode(F.array(F.expr(f"{pos} div {reach}"), F.expr(f"{pos} div {reach} - 1"))).alias("block"))
     h = rows.select(F.col(pos).alias("neighbor"), F.col(vec).alias("h"), F.expr(f"{pos} div {reach}").alias("block"))
     near = q.join(h, "block").where((F.col("neighbor") < F.col("query")) & (F.col("neighbor") >= F.col("query") - reach)).withColumn("score", F.round(dot("q", "h"), 4)).where(F.col("score") > over)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "neighbor"))).where(F.col("rank") <= k).select("query", "neighbor", "rank", "score")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "neighbor")).cast("long")).where(F.col("rank") <= k).select("query", "neighbor", "rank", "score")

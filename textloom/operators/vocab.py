@@ -42,10 +42,10 @@ def mined(chunks: DataFrame, keys: list[str], text_col: str = "text", limit: int
                     rows.append((rank, e.pattern, e.freq, e.saving))
             columns = zip(*rows) if rows else ((), (), (), ())
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(keys))), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64(), pa.int64())))], [*keys, "rank", "pattern", "freq", "saving"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(keys))), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64())))], [*keys, "rank", "pattern", "freq", "saving"])
 
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[: len(keys)])
-    return slim.mapInArrow(run, f"{head}, rank int, pattern binary, freq long, saving long")
+    return slim.mapInArrow(run, f"{head}, rank long, pattern binary, freq long, saving long")
 
 
 def ordered(saving: str = "saving", pattern: str = "pattern") -> list[Column]:
@@ -56,8 +56,8 @@ def top(entries: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Each key's n first entries with their rank; without keys, of all."""
     if not keys:
         best = entries.orderBy(*ordered()).limit(n)
-        return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*ordered())))
-    return entries.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*ordered()))).where(F.col("rank") <= n)
+        return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*ordered())).cast("long"))
+    return entries.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*ordered())).cast("long")).where(F.col("rank") <= n)
 
 
 def dominated_pruned(candidates: DataFrame, keys: list[str], limit: int = codecs.MAX_ENTRIES) -> DataFrame:
@@ -69,7 +69,7 @@ def dominated_pruned(candidates: DataFrame, keys: list[str], limit: int = codecs
         inside &= F.col(k) == F.col(f"b_{k}")
     inside &= F.expr("contains(b_pattern, pattern)")
     kept = ranked.join(better, inside, "left_anti").drop("place")
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*ordered()))).where(F.col("rank") <= limit)
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*ordered())).cast("long")).where(F.col("rank") <= limit)
 
 
 def merged(first: DataFrame, second: DataFrame, limit: int = codecs.MAX_ENTRIES) -> DataFrame:
@@ -115,7 +115,7 @@ def tiers(levels: list[DataFrame], slots: tuple[int, ...] = codecs.TIER_SLOTS) -
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.withColumn("token_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("tier", "rank"))).select("tier", "pattern", "freq", "saving", "token_id")
+    return every.withColumn("token_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("tier", "rank")).cast("long")).select("tier", "pattern", "freq", "saving", "token_id")
 
 
 def static_dictionary(entries: DataFrame, n: int = 5_000) -> DataFrame:
