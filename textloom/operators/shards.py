@@ -68,21 +68,21 @@ def history_dictionary(turns: DataFrame, key: str, order: str, text_col: str, fi
     return whole.select(key, F.length("all").alias("literal_bytes"), F.expr(f"right(all, {size})").alias("dictionary"))
 
 
-def _bytes_of(df: DataFrame, text_col: str) -> DataFrame:
-    h = F.hex(F.encode(text_col, "UTF-8"))
-    one = lambda i: F.conv(F.substring("h", i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return df.select(h.alias("h")).where(F.length("h") > 0).select(F.transform(F.sequence(F.lit(0), F.expr("length(h) div 2 - 1").cast("int")), one).alias("bytes"))
+def _signs_of(df: DataFrame, text_col: str) -> DataFrame:
+    """signs: each text's bytes as one-character strings; they are counted as such and named once counted."""
+    return df.select(F.filter(F.split(B.byte_view(F.col(text_col)), ""), lambda c: c != "").alias("signs"))
 
 
 def histogram(df: DataFrame, text_col: str) -> DataFrame:
-    return _bytes_of(df, text_col).select(F.explode("bytes").alias("byte")).groupBy("byte").agg(F.count("*").alias("n"))
+    """byte, n over all texts."""
+    return _signs_of(df, text_col).select(F.explode("signs").alias("sign")).groupBy("sign").agg(F.count("*").alias("n")).select(F.ascii("sign").alias("byte"), "n")
 
 
 def bigrams(df: DataFrame, text_col: str) -> DataFrame:
     """previous, byte, n over neighbours within a text."""
-    pairs = F.arrays_zip(F.slice("bytes", F.lit(1), F.size("bytes") - 1).alias("a"), F.slice("bytes", F.lit(2), F.size("bytes") - 1).alias("b"))
-    pairs = _bytes_of(df, text_col).where(F.size("bytes") > 1).select(F.explode(pairs).alias("p"))
-    return pairs.groupBy(F.col("p.a").alias("previous"), F.col("p.b").alias("byte")).agg(F.count("*").alias("n"))
+    pairs = F.arrays_zip(F.slice("signs", F.lit(1), F.size("signs") - 1).alias("a"), F.slice("signs", F.lit(2), F.size("signs") - 1).alias("b"))
+    pairs = _signs_of(df, text_col).where(F.size("signs") > 1).select(F.explode(pairs).alias("p"))
+    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).select(F.ascii("a").alias("previous"), F.ascii("b").alias("byte"), "n")
 
 
 def normalised(counts: DataFrame) -> DataFrame:
