@@ -339,3 +339,11 @@ def test_ann_recall_and_odd(spark, sf):
     hits = set(zip(got.vec_id, got.neighbor_id))
     assert np.mean([(i, j) in hits for i in range(2000) for j in np.argsort(-s[i])[:10]]) > 0.9
     assert ann.neighbours(df.limit(0)).count() == 0 and ann.neighbours(df.where("vec_id = 2")).count() == 0
+
+
+def test_ann_neighbours_are_distinct(spark):
+    x = np.random.default_rng(4).normal(size=(2000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.neighbours(df, list_size=128).toPandas()
+    assert (got.groupby("vec_id").neighbor_id.nunique() == 10).all() and (got.groupby("vec_id").size() == 10).all()

@@ -257,6 +257,8 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     entries = entries.toDF("of_list", "of_piece", "entry", "vector")
     found = entries.groupBy("of_list", "of_piece").cogroup(queries.groupBy("list", "piece")).applyInArrow(_scan(k), "id long, near array<long>, sims array<long>")
     pairs = F.transform(F.arrays_zip("near", "sims"), lambda p: F.struct((-p["sims"]).alias("far"), p["near"].alias("near")))
-    best = found.groupBy("id").agg(F.flatten(F.collect_list(pairs)).alias("all")).select("id", F.slice(F.array_sort(F.array_distinct("all")), 1, k).alias("top"))
-    out = best.select("id", F.posexplode("top").alias("place", "p")).where(F.col("p.far") < (1 << 31) - 1)
-    return out.select(F.col("id").alias("vec_id"), (F.col("place") + 1).alias("rank"), F.col("p.near").alias("neighbor_id"), (-F.col("p.far") / UNITS).alias("similarity"))
+    # A vector that several lists hold counts once, with its greatest similarity: products differ with the block's shape.
+    best = found.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("all")).select("id", F.col("all.near").alias("nears"), F.col("all.far").alias("fars"))
+    best = best.select("id", F.posexplode(F.slice(F.array_distinct("nears"), 1, k)).alias("place", "near"), "nears", "fars")
+    out = best.select("id", "place", "near", F.expr("fars[array_position(nears, near) - 1]").alias("far")).where(F.col("far") < (1 << 31) - 1)
+    return out.select(F.col("id").alias("vec_id"), (F.col("place") + 1).alias("rank"), F.col("near").alias("neighbor_id"), (-F.col("far") / UNITS).alias("similarity"))
