@@ -347,3 +347,15 @@ def test_ann_neighbours_are_distinct(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = ann.neighbours(df, list_size=128).toPandas()
     assert (got.groupby("vec_id").neighbor_id.nunique() == 10).all() and (got.groupby("vec_id").size() == 10).all()
+
+
+def test_ann_reads_more_where_recall_asks_for_it(spark):
+    x = np.random.default_rng(4).normal(size=(6000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+    want = np.argpartition(-sims, 9, axis=1)[:, :10]
+    got = ann.neighbours(df, list_size=16, query_ratio=1.01).toPandas()
+    hits = (got.neighbor_id.to_numpy()[:, None] == want[got.vec_id.to_numpy()]).any(1).sum()
+    assert hits >= 0.92 * want.size

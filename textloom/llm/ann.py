@@ -3,7 +3,9 @@
 All vectors are clustered, and clusters split until none holds more than twice the intended list; their centroids are
 held in memory with a graph of near centroids. A search of that graph gives each vector the centroids within a ratio of
 the nearest one's distance: the nearest few within one ratio hold the vector (boundary vectors are in several lists), all
-within the other are read when the vector is a query. Every vector is a query; cosine similarity ranks.
+within the other are read when the vector is a query. That one is learned from the vectors: a sample's true neighbours
+are found by a scan, and the ratio is raised until the wanted share of them lies in the lists that the sample reads.
+Every vector is a query; cosine similarity ranks.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ GROUP = 16_384
 #: Similarities are compared in these units, so that block shapes can't change an order.
 UNITS = 1_000_000
 DEGREE = 24
+#: So many centroids at most are all compared, which is quicker than to search the graph widely.
+COMPARED = 16_384
+#: Vectors whose true neighbours are found by a scan of all, to learn how far queries must read.
+SAMPLE = 256
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -88,6 +94,10 @@ class Graph:
         nearest one's distance, and for least at least."""
         self.turn += 1
         own = float(q @ q)
+        if len(self.centroids) <= COMPARED:
+            d = np.sqrt(np.maximum(own + self.norms - 2 * (self.centroids @ q), 0))
+            order = np.argsort(d, kind="stable")
+            return order, d[order]
         fresh, heap, found, best, seen = self.entries, [], [], np.inf, []
         while True:
             self.stamp[fresh] = self.turn
@@ -211,9 +221,76 @@ def _scan(k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 10, list_size: int = 256, replicas: int = 4, replica_ratio: float = 1.1, query_ratio: float = 1.1) -> DataFrame:
+def reach(graph: Graph, q: np.ndarray, step: int, ratio: float, least: int, hold: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(centroids, nearest first; their distances; how many of them to read) at a step of effort: a higher ratio, and
+    lists that hold more than least vectors; hold: a ratio to be met at any step. With enough steps all lists are read."""
+    ratio, grown = ratio * 1.03**step, 1.5**step
+    at, d = graph.search(q, max(ratio, hold), ceil(32 * grown))
+    enough = int(np.searchsorted(np.cumsum(graph.sizes[at]), least * grown)) + 1  # small lists: more of them
+    return at, d, max(enough, int((d <= ratio * d[0] + 1e-6).sum()))
+
+
+def true_neighbours(vectors: DataFrame, sample: pa.Table, k: int) -> DataFrame:
+    """(q, near): by a scan of all vectors (id, v), the ids of the k nearest to each vector of the sample."""
+    shared = vectors.sparkSession.sparkContext.broadcast((sample.column("id").to_numpy(), matrix(sample.column("v"))))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = shared.value
+        ids, best = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0), np.float32)
+        for batch in batches:
+            fresh = batch.column(0).to_numpy()
+            sims = q @ matrix(batch.column(1)).T
+            sims[own[:, None] == fresh] = -np.inf
+            ids, best = np.c_[ids, np.broadcast_to(fresh, sims.shape)], np.c_[best, sims]
+            if best.shape[1] > k:
+                top = np.argpartition(-best, k - 1, axis=1)[:, :k]
+                ids, best = np.take_along_axis(ids, top, 1), np.take_along_axis(best, top, 1)
+        row, at = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[row, at]), pa.array(best[row, at])], ["q", "near", "sim"])
+
+    found = vectors.mapInArrow(scan, "q long, near long, sim float")
+    best = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "near")), asc=False), 1, k).alias("top"))
+    return best.select("q", F.explode("top.near").alias("near"))
+
+
+def calibrated(vectors: DataFrame, graph: tuple, k: int, recall: float, replicas: int, replica_ratio: float, query_ratio: float, least: int) -> int:
+    """The least step at which a sample's queries read lists that hold the share recall of their true neighbours."""
+    sample = vectors.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLE).toArrow()
+    pairs = written(true_neighbours(vectors, sample, k), "true")
+    near = vectors.join(F.broadcast(pairs), F.col("id") == F.col("near")).select("q", "v")
+    near = near.groupBy("q").agg(F.flatten(F.collect_list("v")).alias("near"))
+    queries = vectors.join(F.broadcast(near), F.col("id") == F.col("q")).select("v", "near")
+    shared = vectors.sparkSession.sparkContext.broadcast(graph)
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = Graph(*shared.value)
+        last = ceil(np.log(max(graph.sizes.sum(), 2)) / np.log(1.5))
+        for batch in batches:
+            out = []
+            for q, near in zip(matrix(batch.column(0)), batch.column(1)):
+                held = []
+                for v in near.values.to_numpy().reshape(-1, len(q)):
+                    at, d = graph.search(v, max(query_ratio, replica_ratio), 32)
+                    held.append(at[: min(replicas, int((d <= replica_ratio * d[0] + 1e-6).sum()))])
+                step = 0
+                while held and step < last:
+                    at, _, n = reach(graph, q, step, query_ratio, least, replica_ratio)
+                    missing = [h for h in held if not np.isin(h, at[:n]).any()]
+                    out += [step] * (len(held) - len(missing))
+                    held, step = missing, step + 1
+                out += [last] * len(held)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32())], ["step"])
+
+    # Few rows: apart, so that several tasks search.
+    found = written(queries, "sample").repartition(16).mapInArrow(steps, "step int").toArrow().column("step").to_numpy()
+    return int(np.sort(found)[max(0, ceil(recall * len(found)) - 1)])
+
+
+def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 10, list_size: int = 256, replicas: int = 4, replica_ratio: float = 1.1, query_ratio: float = 1.1, recall: float = 0.95) -> DataFrame:
     """(vec_id, rank, neighbor_id, similarity): each vector's k nearest others by cosine, ranks from 1.
 
+    query_ratio is where reading starts; it is raised until a sample's queries find the share recall of their neighbours.
+
     A null id, a null or empty vector, one with a null or a number that isn't finite, or one whose length isn't the
     commonest (of two equally common the shorter) is left out. A zero vector has similarity 0 to all. Of rows that repeat
     an id the greatest vector counts. Ties in similarity, compared to six decimals, go to the smallest id. Fewer than
@@ -233,16 +310,17 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     n = unit.count()
     if n < 2:
         return empty
-    shared = unit.sparkSession.sparkContext.broadcast(build(unit, n, dim, list_size))
+    built, least = build(unit, n, dim, list_size), 4 * (k + 1)
+    step = calibrated(unit, built, k, recall, replicas, replica_ratio, query_ratio, least)
+    shared = unit.sparkSession.sparkContext.broadcast(built)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = Graph(*shared.value)
         for batch in batches:
             lists, held = [], []
             for q in matrix(batch.column(1)):
-                at, d = graph.search(q, max(query_ratio, replica_ratio), 32)
-                enough = int(np.searchsorted(np.cumsum(graph.sizes[at]), 4 * (k + 1))) + 1  # small lists: more of them
-                lists.append(at[: max(enough, int((d <= query_ratio * d[0] + 1e-6).sum()))])
+                at, d, reads = reach(graph, q, step, query_ratio, least, replica_ratio)
+                lists.append(at[:reads])
                 held.append(at[: min(replicas, int((d <= replica_ratio * d[0] + 1e-6).sum()))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.int64()))], ["id", "v", "reads", "held"])
 
