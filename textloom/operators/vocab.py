@@ -5,7 +5,7 @@ Order is always: saving, longest, bytes. Patterns are binary columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,15 +29,15 @@ def ngram_counts(chunks: DataFrame, keys: list[str], text_col: str, length: int)
     return grams.where(good).groupBy(*keys, "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= codecs.MIN_COUNT)
 
 
-def mined(chunks: DataFrame, keys: list[str], text_col: str = "text", limit: int = codecs.MAX_ENTRIES) -> DataFrame:
-    """keys, rank, pattern, freq, saving: each chunk's own vocabulary. Chunk by chunk in the mappers; nothing moves."""
+def _of_chunks(chunks: DataFrame, keys: list[str], text_col: str, entries: Callable[[bytes], Iterable[tuple[int, codecs.Entry]]]) -> DataFrame:
+    """keys, rank, pattern, freq, saving: what entries finds in each chunk. Chunk by chunk in the mappers; nothing moves."""
     slim = chunks.select(*keys, F.col(text_col).cast("binary").alias("__data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
             for i, data in enumerate(batch.column(len(keys)).to_pylist()):
-                for rank, e in enumerate(codecs.mine(bytes(data or b""), limit), 1):
+                for rank, e in entries(bytes(data or b"")):
                     at.append(i)
                     rows.append((rank, e.pattern, e.freq, e.saving))
             columns = zip(*rows) if rows else ((), (), (), ())
@@ -48,6 +48,31 @@ def mined(chunks: DataFrame, keys: list[str], text_col: str = "text", limit: int
     return slim.mapInArrow(run, f"{head}, rank long, pattern binary, freq long, saving long")
 
 
+def mined(chunks: DataFrame, keys: list[str], text_col: str = "text", limit: int = codecs.MAX_ENTRIES) -> DataFrame:
+    """keys, rank, pattern, freq, saving: each chunk's own vocabulary."""
+    return _of_chunks(chunks, keys, text_col, lambda data: enumerate(codecs.mine(data, limit), 1))
+
+
+def candidates(chunks: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """keys, rank, pattern, freq, saving: each chunk's candidates of all lengths, before any is pruned."""
+
+    def run(data: bytes) -> Iterable[tuple[int, codecs.Entry]]:
+        return enumerate(sorted((codecs.Entry(p, n, (len(p) - 2) * n) for p, n in codecs.count_patterns(data).items()), key=codecs.order_of), 1)
+
+    return _of_chunks(chunks, keys, text_col, run)
+
+
+def fired(chunks: DataFrame, keys: list[str], text_col: str = "text", limit: int = codecs.MAX_ENTRIES) -> DataFrame:
+    """keys, rank, pattern, freq, saving: of each chunk's own vocabulary the entries whose ids its encoding holds."""
+
+    def run(data: bytes) -> Iterable[tuple[int, codecs.Entry]]:
+        own = codecs.mine(data, limit)
+        ids = set(codecs.Matcher([e.pattern for e in own]).pieces(data)[0])
+        return [(i, e) for i, e in enumerate(own, 1) if i in ids]
+
+    return _of_chunks(chunks, keys, text_col, run)
+
+
 def ordered(saving: str = "saving", pattern: str = "pattern") -> list[Column]:
     return [F.col(saving).desc(), F.octet_length(pattern).desc(), F.col(pattern)]
 

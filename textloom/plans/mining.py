@@ -197,3 +197,28 @@ def prune_to_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = turns(spark, sf_dir).groupBy("conv_id").agg(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), ""), "UTF-8").alias("whole"))
     used = best.join(whole, "conv_id").where(F.expr("contains(whole, pattern)"))
     return _hex(used.select("conv_id", "pattern"))
+
+
+# The four queries above whose SQL is confined to some lengths or patterns, over all of them. Without SQL, which would
+# take too long: tests/test_vocab.py has brute force.
+
+@query()
+def frequency_map_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vocab.candidates(turns(spark, sf_dir), ["conv_id", "turn"])
+    return found.groupBy(F.octet_length("pattern").cast("long").alias("len")).agg(F.count("*").alias("patterns"), F.sum("freq").cast("long").alias("occurrences"))
+
+
+@query()
+def vocab_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hex(vocab.candidates(turns(spark, sf_dir), ["conv_id", "turn"])).drop("rank")
+
+
+@query()
+def vocab_dominated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hex(vocab.mined(turns(spark, sf_dir), ["conv_id", "turn"], limit=1 << 30)).drop("rank")
+
+
+@query()
+def prune_to_fired_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every turn's vocabulary the entries that its encoding uses."""
+    return _hex(vocab.fired(turns(spark, sf_dir), ["conv_id", "turn"]))
