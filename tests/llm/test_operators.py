@@ -70,6 +70,15 @@ def test_minhash_completes_mixed_buckets(spark):
     assert {tuple(r) for r in minhash.near_duplicates(df).collect()} == groups_by_force(rows)
 
 
+def test_minhash_finds_pairs_at_the_threshold(spark):
+    rows = []
+    for i in range(400):  # 39 of 78 pairs of words are shared
+        base = [f"p{i}w{j}" for j in range(40)]
+        rows += [(2 * i, " ".join(base + [f"p{i}a{j}" for j in range(19)])), (2 * i + 1, " ".join(base + [f"p{i}b{j}" for j in range(20)]))]
+    got = {tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {(2 * i + 1, 2 * i) for i in range(400)} and len(got) >= 0.87 * 400
+
+
 def test_minhash_odd(odd, none):
     assert {tuple(r) for r in minhash.near_duplicates(odd).collect()} == {(7, 6)}
     assert minhash.near_duplicates(none).count() == 0
