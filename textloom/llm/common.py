@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only while it has at most this many rows (id-sized rows, so some tens of MB).
-BROADCAST_ROWS = 2_000_000
+#: A table of a few numbers a row is broadcast only while it has at most this many rows, some 16 MB of numbers.
+BROADCAST_ROWS = 500_000
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -23,7 +24,8 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def bounded(spark: SparkSession) -> None:
-    """Keeps the Arrow batches of the session's Python stages small, unless they are smaller already."""
+    """Keeps the Arrow batches of the session's Python stages small, unless they are smaller already. It stays so for the
+    session, as the setting is read when a result is computed, which is after the operator has returned."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key, None)
         if now is not None and not (now.isdigit() and 0 < int(now) <= most):
@@ -34,13 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset, as in tests, a local session,
+    whose executors are threads of this machine, gets a temporary folder; any other raises."""
     there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
+    if there:
+        return there.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that all executors share, when the session is made")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="textloom-")
+    return _own[context.applicationId]
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -84,44 +94,79 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_powers: dict[str, np.ndarray] = {}
+#: Bytes hashed at once: text_slices' own size, so that only texts longer than that are hashed in pieces.
+PIECE = 1 << 19
+#: Shingles of a long text that are made at once.
+BLOCK = 1 << 20
+_powers: list[np.ndarray] = []
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SOLID = (np.arange(256) > 32).astype(np.uint8)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
+def _power_tables() -> list[np.ndarray]:
+    if not _powers:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(PIECE + 1, base, np.uint64)
             steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
+            _powers.append(np.cumprod(steps))
+    return _powers
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+def runs(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, first position) of each longest run, within a row, of bytes of one kind other than 0.
+
+    kind: of each of the 256 bytes. A text longer than PIECE is hashed in pieces; what a piece breaks off is carried on,
+    so memory beyond the text itself is that of the hashes, and no word is cut.
+    """
+    up, down = _power_tables()
+    hashes, firsts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    edges, carry = offsets[1:-1], None  # carry: (kind, first position, sum so far, length) of the run that the piece before broke off
+    for a in range(0, len(data), PIECE):
+        part = data[a : a + PIECE]
+        k, m = kind[part], len(part)
+        first = np.empty(m, bool)
+        first[0] = True
+        np.not_equal(k[1:], k[:-1], out=first[1:])
+        own = edges[(edges >= a) & (edges < a + m)] - a
+        first[own] = True
+        start = np.flatnonzero(first)
+        end = np.r_[start[1:], m]
+        total = np.zeros(m + 1, np.uint64)
+        np.cumsum(((_LOWER[part] if lower else part).astype(np.uint64) + U64(1)) * up[:m], out=total[1:])
+        value = (total[end] - total[start]) * down[start]
+        at, of = start + a, k[start]
+        if carry:
+            if carry[0] == of[0] and not (len(own) and own[0] == 0):
+                value[0] = U64((carry[2] + int(value[0]) * pow(_BASE, carry[3], 1 << 64)) & _MASK)
+                at[0], begun = carry[1], carry[3]
+            else:
+                value, at, of = np.r_[np.array([carry[2]], np.uint64), value], np.r_[carry[1], at], np.r_[np.array([carry[0]], np.uint8), of]
+                begun = 0
+        else:
+            begun = 0
+        carry = None
+        if a + m < len(data):
+            length = m - int(start[-1]) + (begun if len(start) == 1 else 0)
+            carry = (int(of[-1]), int(at[-1]), int(value[-1]), length)
+            value, at, of = value[:-1], at[:-1], of[:-1]
+        hashes.append(mix(value[of > 0]))
+        firsts.append(at[of > 0])
+    return (hashes[1], firsts[1]) if len(hashes) == 2 else (np.concatenate(hashes), np.concatenate(firsts))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash, row) of each word, words being runs of bytes above 0x20; ASCII letters are lowered."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    solid = data > 32
-    first = np.empty(n, bool)
-    first[0] = True
-    np.logical_not(solid[:-1], out=first[1:])
-    last = np.empty(n, bool)
-    last[-1] = True
-    np.logical_not(solid[1:], out=last[:-1])
-    edges = offsets[1:-1]
-    first[edges[edges < n]] = True
-    last[edges[edges > 0] - 1] = True
-    starts, ends = np.flatnonzero(first & solid), np.flatnonzero(last & solid) + 1
-    up, down = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + U64(1)) * up[:n], out=total[1:])
-    h = mix((total[ends] - total[starts]) * down[starts])
-    return h, np.searchsorted(offsets, starts, "right") - 1
+    h, first = runs(data, offsets, _SOLID, lower)
+    return h, np.searchsorted(offsets, first, "right") - 1
+
+
+def _chained(w: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each k neighbours of w, at the first of them; the last k - 1 are of no use."""
+    h = mix(w + U64(k))
+    for j in range(1, k):
+        h[: len(w) - j] = mix(h[: len(w) - j] * U64(3) + w[j:])
+    return h
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,14 +179,22 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     key = np.zeros((rows, 2), np.uint64)
     if not len(w):
         return w, row, key
+    salts = (U64(0x1234567), U64(0x89ABCDEF01))
+    if rows == 1 and len(w) > BLOCK:  # one long text: in blocks that overlap by k - 1 words
+        parts = []
+        for a in range(0, len(w), BLOCK):
+            place = np.arange(a, min(a + BLOCK, len(w)), dtype=np.uint64)
+            for half, salt in enumerate(salts):
+                key[:, half] += mix(w[a : a + BLOCK] ^ mix(place + salt)).sum(dtype=np.uint64)
+            parts.append(_chained(w[a : a + BLOCK + k - 1], k)[: max(0, min(BLOCK, len(w) - a - k + 1))])
+        h = np.concatenate(parts)
+        return h, row[: len(h)], key
     start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     count = np.diff(np.r_[start, len(w)])
     place = (np.arange(len(w)) - np.repeat(start, count)).astype(np.uint64)
-    for half, salt in enumerate((0x1234567, 0x89ABCDEF01)):
-        key[row[start], half] = np.add.reduceat(mix(w ^ mix(place + U64(salt))), start)
-    h = mix(w + U64(k))
-    for j in range(1, k):
-        h[: len(w) - j] = mix(h[: len(w) - j] * U64(3) + w[j:])
+    for half, salt in enumerate(salts):
+        key[row[start], half] = np.add.reduceat(mix(w ^ mix(place + salt)), start)
+    h = _chained(w, k)
     whole = place + U64(k) <= np.repeat(count, count).astype(np.uint64)
     short = start[count < k]
     whole[short] = True

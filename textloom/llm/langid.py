@@ -40,13 +40,26 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return bins[whole], np.r_[0, np.cumsum(size)]
 
 
+#: A text of more bytes than this is counted in pieces and judged by its counts, of at most 65,536 bins.
+LONG = 1 << 20
+
+
+def long_counts(data: np.ndarray) -> np.ndarray:
+    """How often each bin occurs in one text, in pieces that overlap by two bytes."""
+    total = np.zeros(1 << BITS, np.int64)
+    for a in range(0, len(data), LONG):
+        part = data[a : a + LONG + 2]
+        total += np.bincount(trigrams(part, np.array([0, len(part)]))[0], minlength=1 << BITS)
+    return total
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang in batch.column(1).unique().to_pylist():
             texts = batch.column(0).filter(pa.compute.equal(batch.column(1), lang))
             for _, _, data, offsets in text_slices(texts):
-                counts = np.bincount(trigrams(data, offsets)[0], minlength=1 << BITS)
+                counts = long_counts(data) if len(data) > LONG else np.bincount(trigrams(data, offsets)[0], minlength=1 << BITS)
                 total[lang] = total.get(lang, 0) + counts
     for lang, counts in total.items():
         at = np.flatnonzero(counts)
@@ -70,21 +83,24 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_lan
     return languages, (p / p.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def _em(like: np.ndarray, start: np.ndarray, ends: np.ndarray, pi: np.ndarray, rounds: int, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def _em(like: np.ndarray, weight: np.ndarray, start: np.ndarray, ends: np.ndarray, pi: np.ndarray, rounds: int, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Proportions pi (rows x languages) after expectation-maximisation, and each row's log likelihood under them.
 
-    like: languages x positions. Rows are dropped from further rounds once they change by less than tolerance.
+    like: languages x positions; weight: how often each position counts. Rows are dropped from further rounds once they
+    change by less than tolerance.
     """
     pi = pi.copy()
     active = np.arange(len(start))
     at, size = np.arange(like.shape[1]), ends - start
-    sub, first = like, start
+    mass = np.add.reduceat(weight, start)
+    sub, first, heavy = like, start, weight
     for _ in range(rounds):
         n = size[active]
         share = np.repeat(pi[active].T.astype(np.float32), n, axis=1)
         share *= sub
         share /= share.sum(axis=0)
-        new = (np.add.reduceat(share, first, axis=1) / n).T
+        share *= heavy
+        new = (np.add.reduceat(share, first, axis=1, dtype=np.float64) / mass[active]).T
         moved = np.abs(new - pi[active]).max(axis=1) > tolerance
         pi[active] = new
         if not moved.any():
@@ -92,18 +108,19 @@ def _em(like: np.ndarray, start: np.ndarray, ends: np.ndarray, pi: np.ndarray, r
         if not moved.all():
             keep = np.repeat(moved, n)
             at, active = at[keep], active[moved]
-            sub, first = like[:, at], np.r_[0, np.cumsum(size[active])[:-1]]
+            sub, first, heavy = like[:, at], np.r_[0, np.cumsum(size[active])[:-1]], weight[at]
     total = np.einsum("ln,ln->n", np.repeat(pi.T.astype(np.float32), size, axis=1), like)
-    return pi, np.add.reduceat(np.log(np.maximum(total, 1e-30)).astype(np.float64), start)
+    return pi, np.add.reduceat(np.log(np.maximum(total, 1e-30)).astype(np.float64) * weight, start)
 
 
-def mixtures(p: np.ndarray, bins: np.ndarray, first: np.ndarray, penalty: float, rounds: int) -> np.ndarray:
+def mixtures(p: np.ndarray, bins: np.ndarray, first: np.ndarray, penalty: float, rounds: int, weight: np.ndarray | None = None) -> np.ndarray:
     """Proportions (rows x languages) of the set selected for each row; a row without trigrams has all zero.
 
     Each language beyond the first must raise the log likelihood by penalty x log(trigrams). The likelihood is concave in
     the proportions, so a row whose gradient at its best single language promises less than that needs no
-    expectation-maximisation.
+    expectation-maximisation. weight: how often each of bins counts, once by default.
     """
+    weight = np.ones(len(bins), np.float32) if weight is None else weight.astype(np.float32)
     rows, languages = len(first) - 1, len(p)
     out = np.zeros((rows, languages))
     n = np.diff(first)
@@ -113,22 +130,24 @@ def mixtures(p: np.ndarray, bins: np.ndarray, first: np.ndarray, penalty: float,
     start = first[:-1][filled]
     size = n[filled]
     like = p[:, bins]
-    single = np.add.reduceat(np.log(like).astype(np.float64), start, axis=1).T
+    mass = np.add.reduceat(weight, start, dtype=np.float64)
+    single = np.add.reduceat(np.log(like).astype(np.float64) * weight, start, axis=1).T
     best = single.argmax(axis=1)
     out[filled, best] = 1
     base = np.take_along_axis(like, np.repeat(best, size)[None, :], axis=0)
-    gain = np.add.reduceat((like / base).astype(np.float64), start, axis=1).max(axis=0) - size
-    cost = penalty * np.log(size + 1.0)
+    gain = np.add.reduceat((like / base).astype(np.float64) * weight, start, axis=1).max(axis=0) - mass
+    cost = penalty * np.log(mass + 1.0)
     hard = np.flatnonzero(gain > cost)
     if not len(hard):
         return out
     keep = np.zeros(rows, bool)
     keep[filled[hard]] = True
-    like = like[:, np.repeat(keep, n)]
+    inside = np.repeat(keep, n)
+    like, weight = like[:, inside], weight[inside]
     size, cost = size[hard], cost[hard]
     ends = np.cumsum(size)
     start = ends - size
-    pi, _ = _em(like, start, ends, np.full((len(hard), languages), 1 / languages), rounds)
+    pi, _ = _em(like, weight, start, ends, np.full((len(hard), languages), 1 / languages), rounds)
     order = np.argsort(-pi, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
     chosen = np.zeros_like(pi)
@@ -144,7 +163,8 @@ def mixtures(p: np.ndarray, bins: np.ndarray, first: np.ndarray, penalty: float,
         mine = np.zeros(len(hard), bool)
         mine[some] = True
         e = np.cumsum(size[some])
-        fitted, ll = _em(like[:, np.repeat(mine, size)], e - size[some], e, allowed, rounds)
+        inside = np.repeat(mine, size)
+        fitted, ll = _em(like[:, inside], weight[inside], e - size[some], e, allowed, rounds)
         ll -= cost[some] * (m - 1)
         better = ll > top[some]
         chosen[some[better]] = fitted[better]
@@ -160,7 +180,12 @@ def _identify(model, languages: list[str], text_at: int, keep: list[int], penalt
         p = np.frombuffer(model.value, np.float32).reshape(len(names), 1 << BITS)
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(text_at), 1 << 18):
-                pi = mixtures(p, *trigrams(data, offsets), penalty, rounds)
+                if len(data) > LONG:  # one long text: its bins, weighed
+                    counts = long_counts(data)
+                    bins = np.flatnonzero(counts)
+                    pi = mixtures(p, bins, np.array([0, len(bins)]), penalty, rounds, counts[bins])
+                else:
+                    pi = mixtures(p, *trigrams(data, offsets), penalty, rounds)
                 results = []
                 for x in pi:
                     found = [int(i) for i in np.argsort(-x, kind="stable") if x[i] > 0]

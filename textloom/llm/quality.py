@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, _power_tables, bounded, mix, text_slices, written
+from .common import BLOCK, U64, bounded, mix, runs, text_slices, written
 
 #: Log ratios are integers of this many units, so that a document's sum doesn't depend on its neighbours.
 UNITS = 1 << 16
@@ -27,36 +27,32 @@ for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of each run of letters and digits or of other signs; case counts, repeats are marked."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    kind = _CLASS[data]
-    first = np.empty(n, bool)
-    first[0] = True
-    np.not_equal(kind[1:], kind[:-1], out=first[1:])
-    edges = offsets[1:-1]
-    first[edges[edges < n]] = True
-    starts = np.flatnonzero(first)
-    ends = np.r_[starts[1:], n]
-    solid = kind[starts] > 0
-    starts, ends = starts[solid], ends[solid]
-    up, down = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + U64(1)) * up[:n], out=total[1:])
-    h = mix((total[ends] - total[starts]) * down[starts])
-    row = np.searchsorted(offsets, starts, "right") - 1
+    h, first = runs(data, offsets, _CLASS, False)
+    row = np.searchsorted(offsets, first, "right") - 1
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
-    again[2:] |= (h[2:] == h[:-2]) & (row[2:] == row[:-2]) & (kind[starts[2:]] == 1)
-    return np.where(again, U64(1), h), row
+    again[2:] |= (h[2:] == h[:-2]) & (row[2:] == row[:-2]) & (_CLASS[data[first[2:]]] == 1)
+    h[again] = U64(1)
+    return h, row
 
 
-def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, row) of each token and each pair of neighbouring tokens, in row order within either kind."""
+def feature_blocks(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bin, row) of each token and each pair of neighbouring tokens, of BLOCK tokens at once."""
     h, row = tokens(data, offsets)
-    pair = mix(h[:-1] * U64(3) + h[1:])[row[1:] == row[:-1]]
     shift = U64(64 - bits)
-    return np.r_[mix(h) >> shift, pair >> shift].astype(np.int64), np.r_[row, row[1:][row[1:] == row[:-1]]]
+    for a in range(0, len(h), BLOCK):
+        own, at = h[a : a + BLOCK], row[a : a + BLOCK]
+        before = max(a - 1, 0)
+        near, to = h[before : a + BLOCK], row[before : a + BLOCK]
+        same = to[1:] == to[:-1]
+        pair = mix(near[:-1] * U64(3) + near[1:])[same]
+        yield np.r_[mix(own) >> shift, pair >> shift].astype(np.int64), np.r_[at, to[1:][same]]
+
+
+def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """feature_blocks in one."""
+    parts = [*feature_blocks(data, offsets, bits), (np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    return np.concatenate([b for b, _ in parts]), np.concatenate([r for _, r in parts])
 
 
 def _count(bits: int):
@@ -64,7 +60,8 @@ def _count(bits: int):
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
-                total += np.bincount(features(data, offsets, bits)[0], minlength=1 << bits)
+                for at, _ in feature_blocks(data, offsets, bits):
+                    total += np.bincount(at, minlength=1 << bits)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bin", "n"])
 
@@ -92,10 +89,9 @@ def _weigh(ratios, text_at: int, bits: int, keep: list[int]):
         for batch in batches:
             sums = [np.zeros(0, np.int64)]
             for a, b, data, offsets in text_slices(batch.column(text_at)):
-                at, row = features(data, offsets, bits)
                 sums.append(np.zeros(b - a, np.int64))
-                value = table[at]
-                np.add.at(sums[-1], row, value)
+                for at, row in feature_blocks(data, offsets, bits):
+                    np.add.at(sums[-1], row, table[at])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(np.concatenate(sums))], [*(f"c{i}" for i in range(len(keep))), "units"])
 
     return run
