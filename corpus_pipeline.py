@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textloom.llm import langid, minhash, packing, quality
-from textloom.llm.common import if_small, table, written
+from textloom.llm.common import table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
-    gone = written(minhash.near_duplicates(docs).select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(if_small(gone, gone.count()), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    """Of each class of near-duplicate texts the row of the smallest id stays."""
+    return minhash.deduplicated(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
