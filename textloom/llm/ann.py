@@ -1,38 +1,39 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-All vectors are clustered, and clusters split until none holds more than twice the intended list; their centroids are
-held in memory with a graph of near centroids. A search of that graph gives each vector the centroids within a ratio of
-the nearest one's distance: the nearest few within one ratio hold the vector (boundary vectors are in several lists), all
-within the other are read when the vector is a query. That one is learned from the vectors: a sample's true neighbours
-are found by a scan, and the ratio is raised until the wanted share of them lies in the lists that the sample reads.
-Every vector is a query; cosine similarity ranks.
+A bounded sample of the vectors is clustered, and clusters split until none holds more than twice the intended list; their
+centroids are held in memory with a graph of near centroids. A search of that graph gives each vector the centroids within
+a ratio of the nearest one's distance: the nearest few within one ratio hold the vector (boundary vectors are in several
+lists), all within the other are read when the vector is a query. That one is learned from the vectors: a sample's true
+neighbours are found by a scan, and the ratio is raised until the wanted share of them lies in the lists that the sample
+reads. Every vector is indexed; cosine similarity ranks.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: The centroids are broadcast; beyond so many bytes lists get longer instead of more.
-CENTROID_BYTES = 256 << 20
-#: Vectors that one task splits into lists.
+#: Sampled vectors that one task splits into lists.
 GROUP = 16_384
 #: Similarities are compared in these units, so that block shapes can't change an order.
 UNITS = 1_000_000
 DEGREE = 24
-#: So many centroids at most are all compared, which is quicker than to search the graph widely.
-COMPARED = 16_384
+#: So many centroids at most are all compared, which is quicker than to search the graph.
+COMPARED = 2_048
 #: Vectors whose true neighbours are found by a scan of all, to learn how far queries must read.
 SAMPLE = 256
+#: Vectors of the sample to a list at least, when the table is so large that the sample bounds the number of lists.
+LEAST_LIST = 8
+#: Centroids that are looked at for each vector when it is put into lists.
+HOLD = 8
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -87,38 +88,54 @@ class Graph:
         self.centroids, self.links, self.sizes = centroids, links, sizes
         self.norms = (centroids**2).sum(1)
         self.entries = np.unique(np.linspace(0, len(centroids) - 1, min(len(centroids), 32)).astype(int))
-        self.stamp, self.turn = np.full(len(centroids), -1, np.int64), 0
-
-    def search(self, q: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, nearest first; their distances): all that are met while looking for those within ratio x the
-        nearest one's distance, and for least at least."""
-        self.turn += 1
-        own = float(q @ q)
-        if len(self.centroids) <= COMPARED:
-            d = np.sqrt(np.maximum(own + self.norms - 2 * (self.centroids @ q), 0))
-            order = np.argsort(d, kind="stable")
-            return order, d[order]
-        fresh, heap, found, best, seen = self.entries, [], [], np.inf, []
+
+    def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, nearest first; their distances) of each row of q: about the width nearest, by a beam search of the
+        graph for all rows at once. Few centroids, or a wide beam, are compared one by one."""
+        width = min(width, len(self.centroids))
+        if len(self.centroids) <= COMPARED or width * DEGREE >= len(self.centroids):
+            far = self.norms - 2 * (q @ self.centroids.T)
+            at = np.argpartition(far, width - 1, axis=1)[:, :width] if width < far.shape[1] else np.broadcast_to(np.arange(width), (len(q), width))
+            far = np.take_along_axis(far, at, 1)
+        else:
+            at, far = self._beam(q, 2 * width)  # a beam twice as wide as what is wanted loses little
+            best = np.argpartition(far, width - 1, axis=1)[:, :width]
+            at, far = np.take_along_axis(at, best, 1), np.take_along_axis(far, best, 1)
+        order = np.lexsort((at, far))
+        return np.take_along_axis(at, order, 1), np.sqrt(np.maximum(np.take_along_axis(far, order, 1) + (q**2).sum(1)[:, None], 0))
+
+    def _far(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self.norms[at] - 2 * np.einsum("qcd,qd->qc", self.centroids[at], q)
+
+    def _beam(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.broadcast_to(self.entries, (len(q), len(self.entries)))
+        far, shut = self._far(q, at), np.ones(at.shape, bool)
         while True:
-            self.stamp[fresh] = self.turn
-            d = np.sqrt(np.maximum(own + self.norms[fresh] - 2 * (self.centroids[fresh] @ q), 0))
-            found.append((fresh, d))
-            best = min(best, float(d.min()))
-            for i, x in zip(fresh.tolist(), d.tolist()):
-                heapq.heappush(heap, (x, i))
-            fresh = np.zeros(0, np.int64)
-            while heap and not len(fresh):
-                if heap[0][0] > ratio * best + 1e-6 and len(seen) >= least:
-                    break
-                opened = [heapq.heappop(heap)[1] for _ in range(min(8, len(heap)))]
-                seen += opened
-                near = np.unique(self.links[opened])
-                fresh = near[self.stamp[near] != self.turn]
-            if not len(fresh):
-                break
-        at, d = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((at, d))
-        return at[order], d[order]
+            if at.shape[1] > width:
+                best = np.argpartition(far, width - 1, axis=1)[:, :width]
+                at, far, shut = (np.take_along_axis(x, best, 1) for x in (at, far, shut))
+            going = np.flatnonzero((shut & np.isfinite(far)).any(1))
+            if not len(going):
+                return at, far
+            own = np.where(shut[going], far[going], np.inf)
+            next_ = np.argpartition(own, min(4, width) - 1, axis=1)[:, :4]
+            mark = shut[going]
+            np.put_along_axis(mark, next_, False, 1)
+            shut[going] = mark
+            fresh = self.links[np.take_along_axis(at[going], next_, 1)].reshape(len(going), -1)
+            both = np.c_[at[going], fresh]
+            open_ = np.c_[mark, np.ones(fresh.shape, bool)]
+            order = np.lexsort((open_, both))  # of equal ones the one that was expanded comes first and stays
+            both, open_ = (np.take_along_axis(x, order, 1) for x in (both, open_))
+            known = np.c_[far[going], self._far(q[going], fresh)]
+            known = np.take_along_axis(known, order, 1)
+            known[:, 1:][both[:, 1:] == both[:, :-1]] = np.inf
+            best = np.argpartition(known, width - 1, axis=1)[:, :width]
+            grown = np.full((len(q), width), 0), np.full((len(q), width), np.inf, known.dtype), np.zeros((len(q), width), bool)
+            for old, x in zip((at, far, shut), grown):
+                x[:, : old.shape[1]] = old
+            at, far, shut = grown
+            at[going], far[going], shut[going] = (np.take_along_axis(x, best, 1) for x in (both, known, open_))
 
 
 def link(centroids: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -137,10 +154,9 @@ def link(centroids: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def build(vectors: DataFrame, n: int, dim: int, list_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(centroids, links, sizes) over all vectors (id, v)."""
+def build(vectors: DataFrame, n: int, dim: int, size: int, stands_for: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centroids, links, sizes) of lists of about size of the n vectors (id, v), each of which stands for so many."""
     spark = vectors.sparkSession
-    size = max(list_size, ceil(n * dim * 4 / CENTROID_BYTES))
     tops = ceil(n / GROUP)
     centroids = np.zeros((1, dim), np.float32)
     if tops > 1:
@@ -176,7 +192,7 @@ def build(vectors: DataFrame, n: int, dim: int, list_size: int) -> tuple[np.ndar
     lists = written(tops_placed.groupBy("top").applyInArrow(divide, "c array<float>"), "centroids")
     found = matrix(lists.toArrow().column("c"))
     found = found[np.lexsort(found.T)]
-    found, sizes = np.ascontiguousarray(found[:, :dim]), found[:, dim]
+    found, sizes = np.ascontiguousarray(found[:, :dim]), found[:, dim] * stands_for
     everything = spark.sparkContext.broadcast(found)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +217,11 @@ def _top(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(k: int):
+    """The k nearest entries of a list to each query that reads it: (id, near, far)."""
+
     def run(entries: pa.Table, queries: pa.Table) -> pa.Table:
         if not entries.num_rows or not queries.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.int64()))})
+            return pa.table({c: pa.array([], pa.int64()) for c in ("id", "near", "far")})
         entries = entries.sort_by("entry")
         ids, x = entries.column("entry").to_numpy(), matrix(entries.column("vector"))
         out = []
@@ -215,19 +233,25 @@ def _scan(k: int):
             self_ = np.flatnonzero((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == own))
             sims[self_, at[self_]] = np.iinfo(np.int32).min + 1
             top, best = _top(sims, k)
-            out.append(pa.table({"id": part.column("id"), "near": lists_of(ids[top]), "sims": lists_of(best.astype(np.int64))}))
+            near, own = ids[top], np.repeat(own, top.shape[1]).reshape(top.shape)
+            real = near != own
+            out.append(pa.table({"id": own[real], "near": near[real], "far": -best[real].astype(np.int64)}))
         return pa.concat_tables(out)
 
     return run
 
 
-def reach(graph: Graph, q: np.ndarray, step: int, ratio: float, least: int, hold: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """(centroids, nearest first; their distances; how many of them to read) at a step of effort: a higher ratio, and
-    lists that hold more than least vectors; hold: a ratio to be met at any step. With enough steps all lists are read."""
-    ratio, grown = ratio * 1.03**step, 1.5**step
-    at, d = graph.search(q, max(ratio, hold), ceil(32 * grown))
-    enough = int(np.searchsorted(np.cumsum(graph.sizes[at]), least * grown)) + 1  # small lists: more of them
-    return at, d, max(enough, int((d <= ratio * d[0] + 1e-6).sum()))
+def reads(d: np.ndarray, sizes: np.ndarray, step: int, ratio: float, least: int) -> np.ndarray:
+    """How many lists each query reads at a step of effort, d being the lists' distances, nearest first: a higher ratio,
+    and lists that hold more than least vectors."""
+    enough = (np.cumsum(sizes, axis=1) < least * 1.5**step).sum(1) + 1
+    return np.minimum(np.maximum(enough, (d <= ratio * 1.03**step * d[:, :1] + 1e-6).sum(1)), d.shape[1])
+
+
+def holds(graph: Graph, x: np.ndarray, replicas: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(lists, whether they hold the vector): the nearest list, and up to replicas of those within the ratio."""
+    at, d = graph.search(x, max(HOLD, replicas))
+    return at[:, :replicas], d[:, :replicas] <= ratio * d[:, :1] + 1e-6
 
 
 def true_neighbours(vectors: DataFrame, sample: pa.Table, k: int) -> DataFrame:
@@ -253,48 +277,40 @@ def true_neighbours(vectors: DataFrame, sample: pa.Table, k: int) -> DataFrame:
     return best.select("q", F.explode("top.near").alias("near"))
 
 
-def calibrated(vectors: DataFrame, graph: tuple, k: int, recall: float, replicas: int, replica_ratio: float, query_ratio: float, least: int) -> int:
-    """The least step at which a sample's queries read lists that hold the share recall of their true neighbours."""
+def calibrated(vectors: DataFrame, built: tuple, k: int, recall: float, replicas: int, replica_ratio: float, query_ratio: float, least: int) -> tuple[int, int]:
+    """(step, width): the least step at which a sample's queries read lists that hold the share recall of their true
+    neighbours, and how many lists the widest of them reads then."""
     sample = vectors.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLE).toArrow()
     pairs = written(true_neighbours(vectors, sample, k), "true")
-    near = vectors.join(F.broadcast(pairs), F.col("id") == F.col("near")).select("q", "v")
-    near = near.groupBy("q").agg(F.flatten(F.collect_list("v")).alias("near"))
-    queries = vectors.join(F.broadcast(near), F.col("id") == F.col("q")).select("v", "near")
-    shared = vectors.sparkSession.sparkContext.broadcast(graph)
-
-    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = Graph(*shared.value)
-        last = ceil(np.log(max(graph.sizes.sum(), 2)) / np.log(1.5))
-        for batch in batches:
-            out = []
-            for q, near in zip(matrix(batch.column(0)), batch.column(1)):
-                held = []
-                for v in near.values.to_numpy().reshape(-1, len(q)):
-                    at, d = graph.search(v, max(query_ratio, replica_ratio), 32)
-                    held.append(at[: min(replicas, int((d <= replica_ratio * d[0] + 1e-6).sum()))])
-                step = 0
-                while held and step < last:
-                    at, _, n = reach(graph, q, step, query_ratio, least, replica_ratio)
-                    missing = [h for h in held if not np.isin(h, at[:n]).any()]
-                    out += [step] * (len(held) - len(missing))
-                    held, step = missing, step + 1
-                out += [last] * len(held)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32())], ["step"])
-
-    # Few rows: apart, so that several tasks search.
-    found = written(queries, "sample").repartition(16).mapInArrow(steps, "step int").toArrow().column("step").to_numpy()
-    return int(np.sort(found)[max(0, ceil(recall * len(found)) - 1)])
-
-
-def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 10, list_size: int = 256, replicas: int = 4, replica_ratio: float = 1.1, query_ratio: float = 1.1, recall: float = 0.95) -> DataFrame:
-    """(vec_id, rank, neighbor_id, similarity): each vector's k nearest others by cosine, ranks from 1.
-
-    query_ratio is where reading starts; it is raised until a sample's queries find the share recall of their neighbours.
+    near = vectors.join(F.broadcast(pairs), F.col("id") == F.col("near")).select("q", "v").toArrow()  # SAMPLE x k vectors
+    graph, q = Graph(*built), matrix(sample.column("v"))
+    at, d = graph.search(q, len(graph.centroids))
+    place = np.empty_like(at)
+    np.put_along_axis(place, at, np.broadcast_to(np.arange(at.shape[1]), at.shape), 1)
+    order = np.argsort(sample.column("id").to_numpy())
+    of = order[np.searchsorted(sample.column("id").to_numpy()[order], near.column("q").to_numpy())]
+    lists, held = holds(graph, matrix(near.column("v")), replicas, replica_ratio)
+    need = np.where(held, place[of[:, None], lists], at.shape[1]).min(1)
+    sizes, step = graph.sizes[at], 0
+    while True:
+        n = reads(d, sizes, step, query_ratio, least)
+        if (need < n[of]).mean() >= recall or (n == at.shape[1]).all():
+            return step, int(n.max())
+        step += 1
+
+
+def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, queries: Callable[[Column], Column] | None = None, k: int = 10, list_size: int = 256, replicas: int = 2, replica_ratio: float = 1.1, query_ratio: float = 1.1, recall: float = 0.95, fit_rows: int = 200_000) -> DataFrame:
+    """(vec_id, rank, neighbor_id, similarity): the k nearest of all others by cosine to each query, ranks from 1.
+
+    queries: a condition on the id, by default true of every vector. The lists are fitted on a hash sample of about
+    fit_rows vectors, the documented bound of the fit (fewer if these exceed 128 MB); so there are at most fit_rows / 8
+    of them, and in a larger table they get longer. query_ratio is where reading starts; it is raised until a sample's
+    queries find the share recall of their neighbours. Every vector is in its nearest list, and in up to replicas lists.
 
     A null id, a null or empty vector, one with a null or a number that isn't finite, or one whose length isn't the
     commonest (of two equally common the shorter) is left out. A zero vector has similarity 0 to all. Of rows that repeat
     an id the greatest vector counts. Ties in similarity, compared to six decimals, go to the smallest id. Fewer than
-    k + 1 vectors give fewer neighbours, one vector or none gives no rows. Extra columns are ignored.
+    k + 1 vectors give fewer neighbours, one vector or none gives no rows. Ids are whole numbers. Extra columns are ignored.
     """
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
     raw = raw.where("id is not null and v is not null and size(v) > 0").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
@@ -310,33 +326,51 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     n = unit.count()
     if n < 2:
         return empty
-    built, least = build(unit, n, dim, list_size), 4 * (k + 1)
-    step = calibrated(unit, built, k, recall, replicas, replica_ratio, query_ratio, least)
+    most = min(fit_rows, (128 << 20) // (4 * dim))
+    sample, rows = unit, n
+    if n > most:
+        sample = written(unit.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 40)) < int((1 << 40) * most / n)), "fit")
+        rows = sample.count()
+    size = max(LEAST_LIST if rows < n else 1, round(list_size * rows / n))
+    built, least = build(sample, rows, dim, size, n / rows), 4 * (k + 1)
+    step, width = calibrated(unit, built, k, recall, replicas, replica_ratio, query_ratio, least)
     shared = unit.sparkSession.sparkContext.broadcast(built)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = Graph(*shared.value)
         for batch in batches:
-            lists, held = [], []
-            for q in matrix(batch.column(1)):
-                at, d, reads = reach(graph, q, step, query_ratio, least, replica_ratio)
-                lists.append(at[:reads])
-                held.append(at[: min(replicas, int((d <= replica_ratio * d[0] + 1e-6).sum()))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.int64()))], ["id", "v", "reads", "held"])
-
-    probed = written(unit.mapInArrow(probe, "id long, v array<float>, reads array<long>, held array<long>"), "probed")
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                lists, held = holds(graph, matrix(part.column(1)), replicas, replica_ratio)
+                row, at = np.nonzero(held)
+                yield pa.RecordBatch.from_arrays([pa.array(lists[row, at]), *(c.take(pa.array(row)) for c in part.columns)], ["of_list", "entry", "vector"])
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value[0]), np.int64)
+        for batch in placed(batches):
+            total += np.bincount(batch.column(0).to_numpy(), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["of_list", "n"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = Graph(*shared.value)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
+                at, d = graph.search(matrix(part.column(1)), width + width // 4)
+                which = np.arange(at.shape[1]) < reads(d, graph.sizes[at], step, query_ratio, least)[:, None]
+                row, col = np.nonzero(which)
+                yield pa.RecordBatch.from_arrays([pa.array(at[row, col]), *(c.take(pa.array(row)) for c in part.columns)], ["list", "id", "v"])
+
     # A list that stays long, as of vectors that are all alike, is read in pieces by several tasks.
-    held = probed.select(F.explode("held").alias("list"), "id", "v")
-    pieces = held.groupBy("list").agg(F.ceil(F.count("*") / (16 * list_size)).cast("long").alias("pieces")).where("pieces > 1")
-    pieces = F.broadcast(written(pieces, "pieces"))
-    entries = held.join(pieces, "list", "left").select("list", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).alias("piece"), "id", "v")
-    queries = probed.select(F.explode("reads").alias("list"), "id", "v").join(pieces, "list", "left")
-    queries = queries.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"), "id", "v")
-    entries = entries.toDF("of_list", "of_piece", "entry", "vector")
-    found = entries.groupBy("of_list", "of_piece").cogroup(queries.groupBy("list", "piece")).applyInArrow(_scan(k), "id long, near array<long>, sims array<long>")
-    pairs = F.transform(F.arrays_zip("near", "sims"), lambda p: F.struct((-p["sims"]).alias("far"), p["near"].alias("near")))
+    pieces = unit.mapInArrow(sized, "of_list long, n long").groupBy("of_list").agg(F.ceil(F.sum("n") / (16 * list_size)).cast("long").alias("pieces")).where("pieces > 1")
+    pieces = F.broadcast(written(pieces.withColumnRenamed("of_list", "list"), "pieces"))  # at most one row a list
+    entries = unit.mapInArrow(placed, "of_list long, entry long, vector array<float>").join(pieces, F.col("of_list") == F.col("list"), "left")
+    entries = entries.select("of_list", F.pmod(F.xxhash64("entry"), F.coalesce("pieces", F.lit(1))).alias("of_piece"), "entry", "vector")
+    asked = (unit.where(queries(F.col("id"))) if queries else unit).mapInArrow(read, "list long, id long, v array<float>").join(pieces, "list", "left")
+    asked = asked.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"), "id", "v")
+    found = entries.groupBy("of_list", "of_piece").cogroup(asked.groupBy("list", "piece")).applyInArrow(_scan(k), "id long, near long, far long")
     # A vector that several lists hold counts once, with its greatest similarity: products differ with the block's shape.
-    best = found.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("all")).select("id", F.col("all.near").alias("nears"), F.col("all.far").alias("fars"))
-    best = best.select("id", F.posexplode(F.slice(F.array_distinct("nears"), 1, k)).alias("place", "near"), "nears", "fars")
-    out = best.select("id", "place", "near", F.expr("fars[array_position(nears, near) - 1]").alias("far")).where(F.col("far") < (1 << 31) - 1)
-    return out.select(F.col("id").alias("vec_id"), (F.col("place") + 1).alias("rank"), F.col("near").alias("neighbor_id"), (-F.col("far") / UNITS).alias("similarity"))
+    best = found.groupBy("id", "near").agg(F.min("far").alias("far"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("far", "near"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("id").alias("vec_id"), "rank", F.col("near").alias("neighbor_id"), (-F.col("far") / UNITS).alias("similarity"))
