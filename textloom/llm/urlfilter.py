@@ -1,11 +1,13 @@
 """URL filter: allow and block entries in one trie over reversed host labels and path segments.
 
 An entry is host[/path]: it holds for the host, all hosts below it, and all paths below its path. The longest match
-decides: more host labels first, then more path segments; of two entries for the same place block wins.
+decides: more host labels first, then more path segments; of two entries for the same place block wins. An entry that is
+null or blank, or has no host or an empty label, holds for nothing.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -34,25 +36,39 @@ def path_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_extract(url, _AUTHORITY + "([^?#]*)", 2), "/+", "/"), "/$", "")
 
 
-def split_entry(entry: str) -> tuple[str, str]:
-    host, _, path = entry.strip().partition("/")
-    return host.lower().strip("."), "".join(f"/{x}" for x in path.split("/") if x)
+def split_entry(entry: str | None) -> tuple[str, str] | None:
+    """(host, path) of an entry, None if it holds for nothing. A scheme, user, port, query and fragment don't count."""
+    authority, _, path = re.sub(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//", "", (entry or "").strip()).partition("/")
+    authority = authority.split("?")[0].split("#")[0].rpartition("@")[2].partition(":")[0]
+    host = authority.lower().strip(".")
+    if not host or "" in host.split("."):
+        return None
+    return host, "".join(f"/{x}" for x in path.split("?")[0].split("#")[0].split("/") if x)
 
 
-def build(entries: Iterable[tuple[str | None, str | None]]) -> dict:
-    """The trie: a node's children by label or "/" + segment, its entry and action at "". Null or other actions are left out."""
+def normalised(entries: DataFrame) -> DataFrame:
+    """(host, path, action) of entries (entry, action), each place once, block before allow: what both ways to match use."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(*place, action) for entry, action in zip(*(c.to_pylist() for c in batch.columns)) if action in ("allow", "block") and (place := split_entry(entry))]
+            columns = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["host", "path", "action"])
+
+    text = entries.toDF("entry", "action").select(F.col("entry").cast("string"), F.col("action").cast("string"))
+    return text.mapInArrow(run, "host string, path string, action string").groupBy("host", "path").agg(F.max("action").alias("action"))
+
+
+def build(rules: Iterable[tuple[str, str, str]]) -> dict:
+    """The trie of rules (host, path, action): a node's children by label or "/" + segment, its entry and action at ""."""
     root: dict = {}
-    for entry, action in entries:
-        if not entry or action not in ("allow", "block"):
-            continue
-        host, path = split_entry(entry)
+    for host, path, action in rules:
         node = root
-        for label in reversed(host.split(".")) if host else ():
+        for label in reversed(host.split(".")):
             node = node.setdefault(label, {})
         for segment in path.split("/")[1:]:
             node = node.setdefault("/" + segment, {})
-        if "" not in node or node[""][1] == "allow" and action == "block":
-            node[""] = (host + path, action)
+        node[""] = (host + path, action)
     return root
 
 
@@ -91,26 +107,17 @@ def _match(entries):
     return run
 
 
-def by_join(urls: DataFrame, entries: DataFrame) -> DataFrame:
-    """The same decisions for any number of entries: every host suffix and path prefix of a URL is looked up by a join."""
-    schema = "page_id long, host string, entry string, action string"
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = [("".join(split_entry(e)), *map(len, ((split_entry(e)[0].split(".")), split_entry(e)[1].split("/")))) for e in batch.column(0).to_pylist()]
-            columns = zip(*clean) if clean else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()))), batch.column(1)], ["entry", "labels", "segments", "action"])
-
-    rules = entries.toDF("entry", "action").where("entry is not null and entry <> '' and action in ('allow', 'block')").mapInArrow(keys, "entry string, labels int, segments int, action string")
-    rules = rules.groupBy("entry", "labels", "segments").agg(F.max("action").alias("action"))  # block > allow
+def by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same decisions for any number of rules (host, path, action): every host suffix and path prefix of a URL is
+    looked up by a join."""
     parts = urls.withColumn("row", F.monotonically_increasing_id())
     label, segment = F.split("host", "[.]"), F.split("path", "/")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(label)), lambda i: F.array_join(F.slice(label, i, F.size(label)), "."))
     prefixes = F.transform(F.sequence(F.lit(1), F.size(segment)), lambda i: F.array_join(F.slice(segment, F.lit(1), i), "/"))
-    keyed = parts.where("host <> ''").select("row", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("row", F.explode(F.transform("prefixes", lambda p: F.concat("suffix", p))).alias("entry"))
-    best = keyed.join(rules, "entry").groupBy("row").agg(F.max(F.struct("labels", "segments", "entry", "action")).alias("best"))
-    out = parts.join(best, "row", "left").select("page_id", "host", F.col("best.entry").alias("entry"), F.coalesce("best.action", F.lit("none")).alias("action"))
-    return out.sparkSession.createDataFrame([], schema).unionAll(out)
+    keyed = parts.where("host <> ''").select("row", F.explode(suffixes).alias("host"), prefixes.alias("prefixes")).select("row", "host", F.explode("prefixes").alias("path"))
+    rank = F.struct(F.size(F.split("host", "[.]")).alias("labels"), F.size(F.split("path", "/")).alias("segments"), F.concat("host", "path").alias("entry"), "action")
+    best = keyed.join(rules, ["host", "path"]).groupBy("row").agg(F.max(rank).alias("best"))
+    return parts.join(best, "row", "left").select("page_id", "host", F.col("best.entry").alias("entry"), F.coalesce("best.action", F.lit("none")).alias("action"))
 
 
 def decide(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -118,15 +125,18 @@ def decide(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_co
 
     Only a block match removes; without a match the action is "none". A null URL, or one without a host, matches nothing
     and has host "". Entries (entry, action) may be null, repeat or be none; actions other than allow and block count for
-    nothing. Rows that repeat are judged alike. The table may be empty and have any further columns.
+    nothing. Rows that repeat are judged alike; very long URLs and entries are matched whole. Ids keep their type. The
+    table may be empty and have any further columns. Up to TRIE_ENTRIES rules are broadcast, more are joined, alike.
     """
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
-    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    rules = [tuple(r) for r in entries.limit(TRIE_ENTRIES + 1).collect()]
+    slim = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    places = normalised(entries)
+    rules = [tuple(r) for r in places.limit(TRIE_ENTRIES + 1).collect()]
     if len(rules) <= TRIE_ENTRIES:
-        out = slim.mapInArrow(_match(pages.sparkSession.sparkContext.broadcast(rules)), "page_id long, host string, entry string, action string")
+        kind = dict(slim.dtypes)["page_id"]
+        out = slim.mapInArrow(_match(pages.sparkSession.sparkContext.broadcast(rules)), f"page_id {kind}, host string, entry string, action string")
     else:
-        out = by_join(slim, entries)
+        out = by_join(slim, places)
     return out.withColumn("kept", F.col("action") != "block")
 
 
