@@ -6,16 +6,20 @@ Version 1 spreads the slots evenly; each rebalancing adds a version that moves a
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_dir, written
 
 SLOTS = 4096
+MAP = "slot int, shard int, version int"
 
 
 def slot_of(id_col: Column, slots: int = SLOTS) -> Column:
-    """The slot of an id: the first 32 bits of the MD5 of its decimal form, modulo slots; a null id has slot 0."""
+    """The slot of an id: the first 32 bits of the MD5 of its form as a string, modulo slots; a null id has slot 0."""
     return F.coalesce(F.pmod(F.conv(F.substring(F.md5(id_col.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(slots)), F.lit(0)).cast("int")
 
 
@@ -60,28 +64,54 @@ def rebalanced(sizes: DataFrame, current: DataFrame, shards: int, tolerance: flo
 
 
 def store(map_version: DataFrame, path: str) -> None:
-    """Adds a version to the map's table; a version that is there already is never written over."""
+    """Adds versions to the map's table; a version that is there already raises, as one is never written over."""
+    spark = map_version.sparkSession
+    fresh = {r[0] for r in map_version.select("version").distinct().collect()}
+    there = set(versions(spark, path))
+    if fresh & there:
+        raise ValueError(f"the map at {path} has version {min(fresh & there)} already")
     map_version.write.partitionBy("version").mode("append").parquet(path)
 
 
-def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """(slot, shard, version) of one version, by default the latest."""
-    every = spark.read.parquet(path)
-    return every.where(F.col("version") == (version if version is not None else every.agg(F.max("version")).first()[0]))
-
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of the map at path, none if there is no map."""
+    try:
+        every = spark.read.schema(MAP).parquet(path)
+        return sorted(r[0] for r in every.select("version").distinct().collect())
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
 
-def assign(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 24, slots: int = SLOTS, tolerance: float = 0.02) -> DataFrame:
-    """(doc_id, slot, first_shard, shard): every record's slot and its shard in versions 1 and 2 of the map.
 
-    A null id is in slot 0, a null text has no bytes. Rows that repeat an id share its slot. Ties in bytes go by slot.
-    An empty table leaves the map as it is. Extra columns are ignored. What is broadcast is the map, of a fixed number
-    of rows.
+def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """(slot, shard, version) of one version, by default the latest; one that isn't there raises."""
+    there = versions(spark, path)
+    wanted = version if version is not None else max(there, default=None)
+    if wanted not in there:
+        raise ValueError(f"the map at {path} has no version {wanted}")
+    return spark.read.schema(MAP).parquet(path).where(F.col("version") == wanted)
+
+
+def assign(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 24, slots: int = SLOTS, tolerance: float = 0.02, path: str | None = None) -> DataFrame:
+    """(doc_id, slot, first_shard, shard): every record's slot, and its shard before and after a rebalancing.
+
+    path: of the map's versioned table, by default one of its own in the shared folder. If it has no map yet version 1
+    spreads the slots evenly; the latest version is rebalanced by the bytes of the slots and stored as the next one, and
+    both are read from the table. The slot depends on the id as it is, whatever its type.
+    A null id is in slot 0, a null text has no bytes, a very long one counts whole. Rows that repeat an id share its slot.
+    Ties in bytes go by slot. An empty table leaves the map as it is. Extra columns are ignored. What is broadcast is the
+    map, of a fixed number of rows.
     """
+    spark = records.sparkSession
+    path = path or f"{shared_dir(spark)}/textloom/slot_map-{uuid.uuid4().hex}"
     sizes = written(slot_bytes(records, id_col, text_col, slots), "slot_bytes")
-    before = first_map(records.sparkSession, shards, slots)
-    after = rebalanced(sizes, before, shards, tolerance)
-    both = written(before.select("slot", F.col("shard").alias("first_shard")).join(after.select("slot", "shard"), "slot"), "map")
-    slim = records.select(F.col(id_col).cast("long").alias("doc_id")).withColumn("slot", slot_of(F.col("doc_id"), slots))
+    if not versions(spark, path):
+        store(first_map(spark, shards, slots), path)
+    before = load(spark, path)
+    store(rebalanced(sizes, before, shards, tolerance), path)
+    both = before.select("slot", F.col("shard").alias("first_shard")).join(F.broadcast(load(spark, path).select("slot", "shard")), "slot")
+    slim = records.select(F.col(id_col).alias("doc_id")).withColumn("slot", slot_of(F.col("doc_id"), slots))
     return slim.join(F.broadcast(both), "slot").select("doc_id", "slot", "first_shard", "shard")
 
 
