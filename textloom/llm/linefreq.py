@@ -27,13 +27,16 @@ def _hashes(text: Column, host: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.nullif(F.xxhash64(host, normalised(x)), F.xxhash64(host, F.lit(""))))
 
 
-def frequent_lines(docs: DataFrame, host_col: str, text_col: str, least_docs: int, share: float) -> DataFrame:
-    """(line, n): hashes of the lines in more than least_docs documents and more than share of the documents of a host."""
+def frequent_lines(docs: DataFrame, host_col: str, text_col: str, most_docs: int, share: float, share_from: int) -> DataFrame:
+    """(line, n): hashes of the lines in more than most_docs documents of a host, or in more than share of them and in
+    share_from at least."""
     host, text = F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.col(text_col).cast("string")
     each = docs.select(host.alias("host"), F.array_distinct(_hashes(text, host)).alias("lines"))
     hosts = docs.groupBy(host.alias("host")).count().withColumnRenamed("count", "docs")
     lines = each.select("host", F.explode("lines").alias("line")).where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n"))
-    return lines.where(F.col("n") > least_docs).join(F.broadcast(hosts) if hosts.limit(200_001).count() <= 200_000 else hosts, "host").where(F.col("n") > share * F.col("docs")).select("line", "n")
+    lines = lines.where((F.col("n") > most_docs) | (F.col("n") >= share_from))
+    many = (F.col("n") > most_docs) | ((F.col("n") >= share_from) & (F.col("n") > share * F.col("docs")))
+    return lines.join(F.broadcast(hosts) if hosts.limit(200_001).count() <= 200_000 else hosts, "host").where(many).select("line", "n")
 
 
 def _clean(frequent, kept: list[int], text_at: int, least_words: int, least_share: float, names: list[str]):
@@ -70,20 +73,22 @@ def _clean(frequent, kept: list[int], text_at: int, least_words: int, least_shar
     return run
 
 
-def remove_frequent(docs: DataFrame, text_col: str = "text", host_col: str = "source", keep: list[str] | None = None, *, least_docs: int = 20, share: float = 0.005, least_words: int = 5, least_share: float = 0.3) -> DataFrame:
+def remove_frequent(docs: DataFrame, text_col: str = "text", host_col: str = "source", keep: list[str] | None = None, *, most_docs: int = 20, share: float = 0.005, share_from: int = 5, least_words: int = 5, least_share: float = 0.3) -> DataFrame:
     """docs' columns keep (all by default) with the text's frequent lines removed, then n_lines and n_removed.
 
-    A line goes from a document if more than least_docs documents of the host and more than share of all the host's
-    documents have it, once normalised. A document goes if a line went and fewer than least_words words or less than
-    least_share of its words are left, or if it has nothing but white space to begin with.
+    A line goes from a document if, once normalised, more than most_docs documents of the host have it, whatever the size
+    of the host, or share_from and more than share of all the host's documents. A document goes if a line went and fewer
+    than least_words words or less than least_share of its words are left, or if it has nothing but white space to begin
+    with.
     A null text has no lines and goes; a null host is the host "". Lines that repeat within a document count once; rows
     that repeat count each, as documents. Empty lines are neither counted nor removed. Ties don't arise: a line at a
-    limit stays. The table may be empty; columns that clash with n_lines or n_removed keep their place before them.
+    limit stays. A very long text is taken whole. The table may be empty; where keep has n_lines or n_removed, the new
+    columns take underscores before their names until they are unique.
     """
     spark = docs.sparkSession
     bounded(spark)
     keep = keep or docs.columns
-    bad = written(frequent_lines(docs, host_col, text_col, least_docs, share), "lines")
+    bad = written(frequent_lines(docs, host_col, text_col, most_docs, share, share_from), "lines")
     n = bad.count()
     host, text = F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.col(text_col).cast("string")
     names = list(dict.fromkeys([*keep, text_col]))
@@ -103,7 +108,12 @@ def remove_frequent(docs: DataFrame, text_col: str = "text", host_col: str = "so
         values = np.sort(bad.select("line").distinct().toPandas()["line"].to_numpy(np.int64))
     frequent = spark.sparkContext.broadcast(values.tobytes())
     out = slim.mapInArrow(_clean(frequent, kept, text_at, least_words, least_share, fields), schema)
-    return out.toDF(*keep, "n_lines", "n_removed")
+    fresh = []
+    for name in ("n_lines", "n_removed"):
+        while name.lower() in {c.lower() for c in keep}:
+            name = f"_{name}"
+        fresh.append(name)
+    return out.toDF(*keep, *fresh)
 
 
 ORACLE = r"""
@@ -115,7 +125,7 @@ WITH line AS (
 ), frequent AS (
   SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS n FROM line WHERE norm <> '' GROUP BY host, norm) x
   JOIN (SELECT coalesce(source, '') AS host, count(*) AS docs FROM documents GROUP BY 1) h USING (host)
-  WHERE n > 20 AND n > 0.005 * docs
+  WHERE n > 20 OR (n >= 5 AND n > 0.005 * docs)
 ), marked AS (
   SELECT line.*, f.norm IS NOT NULL AS gone FROM line LEFT JOIN frequent f ON f.host = line.host AND f.norm = line.norm
 ), doc AS (
