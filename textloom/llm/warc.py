@@ -1,20 +1,30 @@
 """WARC derivatives: from response records to linked metadata and plain-text conversion records.
 
 Each response gives two records that name it in WARC-Refers-To and each other in WARC-Concurrent-To; both keep its HTTP
-headers, date, URI and payload digest. Everything up to the serialised records stays in the JVM.
+headers, date, URI and payload digest. A page's text, title, language and links are taken in Arrow batches by scans whose
+time grows with the page's length alone; regular expressions with an open middle go back over a hostile page again and
+again. What else there is stays in the JVM.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
+import io
+import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 CRLF = "\r\n"
-#: Regular expressions that mean the same to Java and RE2, each with what takes the match's place; in this order.
+#: What visible text is, as regular expressions with what takes the match's place, in this order; visible() does the same.
 TEXT_RULES = [
     (r"(?s)<!--.*?-->", " "),
     (r"(?is)<script\b[^>]*>.*?</script\s*>", " "),
@@ -37,15 +47,80 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.encode(text, "UTF-8"), 256))
 
 
-def plain_text(html: Column) -> Column:
-    """html's visible text: no scripts, styles, comments, head or tags; blocks on lines of their own."""
-    for pattern, instead in TEXT_RULES:
-        html = F.regexp_replace(html, pattern, instead)
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.ASCII | re.IGNORECASE)
+
+
+_SPANS = [(_compiled(rf"<(?:{name})\b"), _compiled(rf"</(?:{name})[\t\n\f\r ]*>")) for name in ("script", "style", "title|head")]
+_TITLE = _compiled(r"<title\b"), _compiled(r"</title[\t\n\f\r ]*>")
+_BLOCKS, _TAGS = _compiled(TEXT_RULES[4][0].replace("(?i)", "")), re.compile(TEXT_RULES[5][0])
+_HTML, _LANG, _A, _HREF = map(_compiled, (r"<html\b", r"\blang=\"", r"<a\b", r"\bhref=\""))
+_BLANKS, _BREAKS, _WHITE = re.compile(SPACE_RULES[0][0]), re.compile(SPACE_RULES[1][0]), re.compile(r"[\t\n\f\r ]+")
+
+
+def elements(html: str, opener: re.Pattern, closer: re.Pattern) -> Iterator[tuple[int, int, int, int]]:
+    """(start, start of content, end of content, end) of each element from an opener with its > to the first closer after
+    it. An opener without one ends the search, as none after it can have one: so each sign is looked at a few times."""
+    m, ends, end = opener.search(html), None, -1
+    while m:
+        end = end if end >= m.end() else html.find(">", m.end())
+        ends = ends or [(c.start(), c.end()) for c in closer.finditer(html, m.end())]
+        i = bisect_left(ends, (end + 1, 0))
+        if end < 0 or i == len(ends):
+            return
+        yield m.start(), end + 1, *ends[i]
+        m = opener.search(html, ends[i][1])
+
+
+def _without(html: str, spans: Iterator[tuple[int, int, int, int]]) -> str:
+    out, at = [], 0
+    for start, _, _, end in spans:
+        out += (html[at:start], " ")
+        at = end
+    return "".join(out) + html[at:] if out else html
+
+
+def _comments(html: str) -> Iterator[tuple[int, int, int, int]]:
+    at = html.find("<!--")
+    while at >= 0 and (end := html.find("-->", at + 4)) >= 0:
+        yield at, at + 4, end, end + 3
+        at = html.find("<!--", end + 3)
+
+
+def visible(html: str) -> str:
+    """html's visible text: no scripts, styles, comments, head or tags; blocks on lines of their own. Linear in its length."""
+    html = _without(html, _comments(html))
+    for opener, closer in _SPANS:
+        html = _without(html, elements(html, opener, closer))
+    for tag, instead in ((_BLOCKS, "\n"), (_TAGS, " ")):  # a tag without > is text: what follows the last > has none
+        cut = html.rfind(">") + 1
+        html = tag.sub(instead, html[:cut]) + html[cut:]
     for name, sign in ENTITIES:
-        html = F.replace(html, F.lit(name), F.lit(sign))
-    for pattern, instead in SPACE_RULES:
-        html = F.regexp_replace(html, pattern, instead)
-    return html
+        html = html.replace(name, sign)
+    return _BREAKS.sub("\n", _BLANKS.sub(" ", html)).strip(" \n")
+
+
+def attributes(html: str, opener: re.Pattern, name: re.Pattern) -> Iterator[str]:
+    """The values of name in tags, the last one in a tag, in order; a tag ends at > or with the text."""
+    m = opener.search(html)
+    while m:
+        end = html.find(">", m.end())
+        end = len(html) if end < 0 else end
+        for found in reversed(list(name.finditer(html, m.end(), end))):
+            close = html.find('"', found.end())
+            if close >= 0:
+                yield html[found.end() : close]
+                m = opener.search(html, close + 1)
+                break
+        else:
+            m = opener.search(html, end)
+
+
+def facts(html: str) -> tuple[str, str, str, str]:
+    """(visible text, title, declared language, a line for each link in order of appearance)."""
+    title = next((html[a:b] for _, a, b, _ in elements(html, *_TITLE)), "")
+    links = "".join(f"outlink: {x}{CRLF}" for x in attributes(html, _A, _HREF))
+    return visible(html), _WHITE.sub(" ", title).strip(" "), next(attributes(html, _HTML, _LANG), ""), links
 
 
 def responses(pages: DataFrame, date: str) -> DataFrame:
@@ -53,7 +128,7 @@ def responses(pages: DataFrame, date: str) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(payload).cast("string"), F.lit(CRLF))
     return pages.select(
-        F.col("page_id").cast("long").alias("page_id"), uuid_of(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.lit("response")).alias("record_id"),
+        F.col("page_id"), uuid_of(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.lit("response")).alias("record_id"),
         F.col("url").alias("target_uri"), F.lit(date).alias("date"), head.alias("headers"), payload.alias("payload"),
     )
 
@@ -63,17 +138,25 @@ def derivatives(found: DataFrame) -> DataFrame:
 
     Metadata are warc-fields: the title, the declared language, the text's digest and length, each link in order of
     appearance, repeats included. A response without a payload gives a conversion record of no length; a null URI stays
-    null; responses that repeat give records that repeat, with the same ids. The table may be empty; columns that aren't
-    named above are ignored.
+    null; responses that repeat give records that repeat, with the same ids. An element, comment or tag that isn't closed
+    is text. A very long page is taken whole, in time that grows with its length. The table may be empty; columns that
+    aren't named above are ignored.
     """
-    base = found.select("page_id", "record_id", "target_uri", "date", "headers", F.coalesce("payload", F.lit("")).alias("payload"))
-    base = base.withColumn("text", plain_text(F.col("payload")))
-    title = F.trim(F.regexp_replace(F.regexp_extract("payload", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), r"\s+", " "))
-    lang = F.regexp_extract("payload", r"(?i)<html\b[^>]*\blang=\"([^\"]*)\"", 1)
-    links = F.regexp_extract_all("payload", F.lit(r"(?i)<a\b[^>]*\bhref=\"([^\"]*)\""), F.lit(1))
+    bounded(found.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = batch.column(batch.num_columns - 1).to_pylist()
+            columns = list(zip(*map(facts, pages))) or [()] * 4
+            digests = ["sha256:" + hashlib.sha256(x.encode()).hexdigest() for x in pages]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.string()) for c in (*columns, digests))], names)
+
+    slim = found.select("page_id", "record_id", "target_uri", "date", "headers", F.coalesce(F.col("payload").cast("string"), F.lit("")).alias("payload"))
+    names = [*slim.columns[:-1], "text", "title", "lang", "links", "source_digest"]
+    base = slim.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in [*slim.dtypes[:-1], *((n, "string") for n in names[5:])]))
     fields = F.concat(
-        F.lit("title: "), title, F.lit(f"{CRLF}lang: "), lang, F.lit(f"{CRLF}text-digest: "), digest(F.col("text")), F.lit(f"{CRLF}text-length: "),
-        F.octet_length("text").cast("string"), F.lit(CRLF), F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit(CRLF))), ""),
+        F.lit("title: "), "title", F.lit(f"{CRLF}lang: "), "lang", F.lit(f"{CRLF}text-digest: "), digest(F.col("text")), F.lit(f"{CRLF}text-length: "),
+        F.octet_length("text").cast("string"), F.lit(CRLF), "links",
     )
     ids = {kind: uuid_of(F.col("record_id"), F.lit(kind)) for kind in ("metadata", "conversion")}
 
@@ -83,7 +166,7 @@ def derivatives(found: DataFrame) -> DataFrame:
     both = base.select("*", F.explode(F.array(record("metadata", "conversion", "application/warc-fields", fields), record("conversion", "metadata", "text/plain", F.col("text")))).alias("r"))
     return both.select(
         "page_id", "r.record_type", F.col("r.new_id").alias("record_id"), F.col("record_id").alias("refers_to"), "r.concurrent_to", "target_uri", "date", F.col("headers").alias("source_headers"),
-        digest(F.col("payload")).alias("source_digest"), digest(F.col("r.content")).alias("block_digest"), "r.content_type", F.octet_length("r.content").cast("long").alias("content_length"), "r.content",
+        "source_digest", digest(F.col("r.content")).alias("block_digest"), "r.content_type", F.octet_length("r.content").cast("long").alias("content_length"), "r.content",
     )
 
 
@@ -96,37 +179,108 @@ def serialised(records: DataFrame) -> DataFrame:
     return records.select("page_id", F.encode(F.concat(head, F.col("content"), F.lit(CRLF * 2)), "UTF-8").alias("warc"))
 
 
-def parsed(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(header lines, block) of each record of a WARC file, gzip members or plain; a cut or malformed record raises."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        head = [tuple(x.split(": ", 1)) for x in data[at:end].decode().split(CRLF)[1:]]
-        size = int(next((v for k, v in head if k.lower() == "content-length"), -1))
-        block = data[end + 4 : end + 4 + size]
-        if size < 0 or len(block) < size:
-            raise ValueError(f"cut WARC record at byte {at}")
-        yield head, block
-        at = end + 4 + size
-        while data.startswith(CRLF.encode(), at):
-            at += 2
+def _header(stream: io.BufferedIOBase, what: str) -> list[tuple[str, str]]:
+    lines = []
+    while (line := stream.readline(1 << 20)).strip(b"\r\n"):
+        if line[:1] in b" \t" and lines:  # a folded line
+            lines[-1] += b" " + line.strip()
+        else:
+            lines.append(line.rstrip(b"\r\n"))
+    if not line:
+        raise ValueError(f"cut WARC record: {what}")
+    pairs = [x.decode("utf-8", "replace").partition(":") for x in lines]
+    return [(name.strip(), value.strip()) for name, _, value in pairs]
+
+
+def parsed(data: bytes | io.BufferedIOBase) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(header lines, block) of each record of a WARC file or stream, gzip members or plain, one record at a time; a cut or
+    malformed record raises."""
+    raw = io.BufferedReader(io.BytesIO(data) if isinstance(data, bytes) else data)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if raw.peek(2)[:2] == b"\x1f\x8b" else raw
+    n = 0
+    try:
+        while line := stream.readline(1 << 20):
+            if not line.strip(b"\r\n"):
+                continue
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"no WARC record after {n}")
+            head = _header(stream, f"number {n}")
+            size = next((v for k, v in head if k.lower() == "content-length"), "")
+            block = stream.read(int(size)) if size.isdigit() else b""
+            if not size.isdigit() or len(block) < int(size):
+                raise ValueError(f"cut WARC record: number {n}")
+            yield head, block
+            n += 1
+    except (EOFError, zlib.error) as e:
+        raise ValueError(f"cut WARC record: number {n}") from e
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, headers, block) of all records of the WARC files under path, one task or more a file."""
+    """(path, headers, block) of all records of the WARC files under path. A file is one task's, which streams it: memory
+    is that of its largest record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for head, block in parsed(data):
-                    heads = pa.array([[{"name": k, "value": v} for k, v in head]], pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])))
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), heads, pa.array([block], pa.binary())], ["path", "headers", "block"])
+        kind = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+        for name in (n for batch in batches for n in batch.column(0).to_pylist()):
+            files, at = pa.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+            with files.open_input_stream(at, compression=None) as stream:
+                rows, size = [], 0
+                for head, block in parsed(stream):
+                    rows.append(([{"name": k, "value": v} for k, v in head], block))
+                    size += len(block)
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.binary())], ["path", "headers", "block"])
+                        rows, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.binary())], ["path", "headers", "block"])
+
+    files = spark.read.format("binaryFile").load(path).select("path")  # lists the files; their content isn't read
+    return files.repartition(max(1, files.count()), "path").mapInArrow(run, "path string, headers array<struct<name:string,value:string>>, block binary")
+
+
+def _body(head: dict[str, str], data: bytes) -> str:
+    """The payload of an HTTP response as text: chunks joined, decompressed, in its charset, by default UTF-8."""
+    if head.get("transfer-encoding", "").lower() == "chunked":
+        parts, at = [], 0
+        while (end := data.find(b"\r\n", at)) >= 0 and (size := re.match(rb"[0-9a-fA-F]+", data[at:end])):
+            n = int(size[0], 16)
+            parts.append(data[end + 2 : end + 2 + n])
+            at = end + 4 + n
+            if not n:
+                break
+        data = b"".join(parts) if parts else data  # some crawlers join the chunks and keep the header
+    if head.get("content-encoding", "").lower() in ("gzip", "x-gzip", "deflate"):
+        try:
+            data = zlib.decompressobj(47).decompress(data)
+        except zlib.error:
+            pass  # stored decompressed
+    charset = re.search(r"charset=[\"']?([\w.:-]+)", head.get("content-type", ""), re.I) or re.search(rb"<meta[^>]{0,200}charset=[\"']?([\w.:-]+)", data[:1024], re.I)
+    name = charset[1] if charset else "utf-8"
+    try:
+        return data.decode(name if isinstance(name, str) else name.decode(), "replace")
+    except LookupError:
+        return data.decode("utf-8", "replace")
+
+
+def http_responses(records: DataFrame) -> DataFrame:
+    """Response records for derivatives, of the records (headers, block) of read_warc: those of type response, their block
+    parted into HTTP headers and payload, with the record's own id, URI and date. page_id is null."""
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, headers array<struct<name:string,value:string>>, block binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for lines, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                of = {x["name"].lower(): x["value"] for x in lines or []}
+                if of.get("warc-type") != "response" or not (block or b"").startswith(b"HTTP/"):
+                    continue
+                head, _, data = block.partition(b"\r\n\r\n")
+                text = head.decode("utf-8", "replace") + CRLF
+                http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in text.split(CRLF)[1:])}
+                rows.append((None, of.get("warc-record-id"), of.get("warc-target-uri"), of.get("warc-date"), text, _body(http, data)))
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i else pa.int64()) for i, c in enumerate(columns)], names)
+
+    names = ["page_id", "record_id", "target_uri", "date", "headers", "payload"]
+    return records.select("headers", "block").mapInArrow(run, "page_id long, " + ", ".join(f"{n} string" for n in names[1:]))
 
 
 DATE = "2025-01-01T00:00:00Z"
