@@ -83,24 +83,29 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_lan
     return languages, (p / p.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def _em(like: np.ndarray, weight: np.ndarray, start: np.ndarray, ends: np.ndarray, pi: np.ndarray, rounds: int, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def _weighed(x: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
+    return x if weight is None else x * weight
+
+
+def _em(like: np.ndarray, weight: np.ndarray | None, start: np.ndarray, ends: np.ndarray, pi: np.ndarray, rounds: int, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Proportions pi (rows x languages) after expectation-maximisation, and each row's log likelihood under them.
 
-    like: languages x positions; weight: how often each position counts. Rows are dropped from further rounds once they
+    like: languages x positions; weight: how often each position counts, once if None. Rows are dropped from further rounds once they
     change by less than tolerance.
     """
     pi = pi.copy()
     active = np.arange(len(start))
     at, size = np.arange(like.shape[1]), ends - start
-    mass = np.add.reduceat(weight, start)
+    mass = size if weight is None else np.add.reduceat(weight, start)
     sub, first, heavy = like, start, weight
     for _ in range(rounds):
         n = size[active]
         share = np.repeat(pi[active].T.astype(np.float32), n, axis=1)
         share *= sub
         share /= share.sum(axis=0)
-        share *= heavy
-        new = (np.add.reduceat(share, first, axis=1, dtype=np.float64) / mass[active]).T
+        if heavy is not None:
+            share = share * heavy
+        new = (np.add.reduceat(share, first, axis=1) / mass[active]).T
         moved = np.abs(new - pi[active]).max(axis=1) > tolerance
         pi[active] = new
         if not moved.any():
@@ -108,9 +113,9 @@ def _em(like: np.ndarray, weight: np.ndarray, start: np.ndarray, ends: np.ndarra
         if not moved.all():
             keep = np.repeat(moved, n)
             at, active = at[keep], active[moved]
-            sub, first, heavy = like[:, at], np.r_[0, np.cumsum(size[active])[:-1]], weight[at]
+            sub, first, heavy = like[:, at], np.r_[0, np.cumsum(size[active])[:-1]], None if weight is None else weight[at]
     total = np.einsum("ln,ln->n", np.repeat(pi.T.astype(np.float32), size, axis=1), like)
-    return pi, np.add.reduceat(np.log(np.maximum(total, 1e-30)).astype(np.float64) * weight, start)
+    return pi, np.add.reduceat(_weighed(np.log(np.maximum(total, 1e-30)).astype(np.float64), weight), start)
 
 
 def mixtures(p: np.ndarray, bins: np.ndarray, first: np.ndarray, penalty: float, rounds: int, weight: np.ndarray | None = None) -> np.ndarray:
@@ -120,7 +125,7 @@ def mixtures(p: np.ndarray, bins: np.ndarray, first: np.ndarray, penalty: float,
     the proportions, so a row whose gradient at its best single language promises less than that needs no
     expectation-maximisation. weight: how often each of bins counts, once by default.
     """
-    weight = np.ones(len(bins), np.float32) if weight is None else weight.astype(np.float32)
+    weight = None if weight is None else weight.astype(np.float64)
     rows, languages = len(first) - 1, len(p)
     out = np.zeros((rows, languages))
     n = np.diff(first)
@@ -130,12 +135,12 @@ def mixtures(p: np.ndarray, bins: np.ndarray, first: np.ndarray, penalty: float,
     start = first[:-1][filled]
     size = n[filled]
     like = p[:, bins]
-    mass = np.add.reduceat(weight, start, dtype=np.float64)
-    single = np.add.reduceat(np.log(like).astype(np.float64) * weight, start, axis=1).T
+    mass = size if weight is None else np.add.reduceat(weight, start)
+    single = np.add.reduceat(_weighed(np.log(like).astype(np.float64), weight), start, axis=1).T
     best = single.argmax(axis=1)
     out[filled, best] = 1
     base = np.take_along_axis(like, np.repeat(best, size)[None, :], axis=0)
-    gain = np.add.reduceat((like / base).astype(np.float64) * weight, start, axis=1).max(axis=0) - mass
+    gain = np.add.reduceat(_weighed((like / base).astype(np.float64), weight), start, axis=1).max(axis=0) - mass
     cost = penalty * np.log(mass + 1.0)
     hard = np.flatnonzero(gain > cost)
     if not len(hard):
@@ -143,7 +148,7 @@ def mixtures(p: np.ndarray, bins: np.ndarray, first: np.ndarray, penalty: float,
     keep = np.zeros(rows, bool)
     keep[filled[hard]] = True
     inside = np.repeat(keep, n)
-    like, weight = like[:, inside], weight[inside]
+    like, weight = like[:, inside], None if weight is None else weight[inside]
     size, cost = size[hard], cost[hard]
     ends = np.cumsum(size)
     start = ends - size
@@ -164,7 +169,7 @@ def mixtures(p: np.ndarray, bins: np.ndarray, first: np.ndarray, penalty: float,
         mine[some] = True
         e = np.cumsum(size[some])
         inside = np.repeat(mine, size)
-        fitted, ll = _em(like[:, inside], weight[inside], e - size[some], e, allowed, rounds)
+        fitted, ll = _em(like[:, inside], None if weight is None else weight[inside], e - size[some], e, allowed, rounds)
         ll -= cost[some] * (m - 1)
         better = ll > top[some]
         chosen[some[better]] = fitted[better]
