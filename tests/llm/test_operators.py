@@ -228,6 +228,20 @@ def test_em_finds_the_greatest_likelihood():
     assert abs(got[0] - max(grid)[1]) < 0.08
 
 
+def test_long_texts_have_the_mixture_of_short_ones(spark, docs, monkeypatch):
+    text = {l: " ".join(r.text for r in docs.where(f"lang = '{l}'").limit(20).collect())[:9000] for l in ("en", "de")}
+    df = docs.unionByName(spark.createDataFrame([(9001, text["en"] + " " + text["de"][:4000], None, "a", 0)], DOCS))
+    short = next(r for r in langid.language_mixtures(df).collect() if r.doc_id == 9001)
+    data = np.frombuffer((text["en"] + " " + text["de"][:4000]).encode(), np.uint8)
+    whole = np.bincount(langid.trigrams(data, np.array([0, len(data)]))[0], minlength=1 << langid.BITS)
+    monkeypatch.setattr(langid, "LONG", 1000)
+    assert (langid.long_counts(data) == whole).all()
+    languages, p = langid.fit(df, "doc_id", "text", "lang", 2000, 0.5, 5)
+    bins = np.flatnonzero(whole)
+    pi = langid.mixtures(p, bins, np.array([0, len(bins)]), 6.0, 30, whole[bins])[0]
+    assert [languages[i] for i in np.argsort(-pi)[:2]] == short.languages[:2] and abs(pi.max() - short.proportions[0]) < 1e-3
+
+
 def test_language_odd(odd, none):
     rows = langid.language_mixtures(odd).collect()
     assert len(rows) == len(ODD) and all(not r.accepted and r.language == "und" for r in rows if r.doc_id in (1, 2, 8))

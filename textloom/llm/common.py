@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of a few numbers a row is broadcast only while it has at most this many rows, some 16 MB of numbers.
-BROADCAST_ROWS = 500_000
+#: A table of one or two numbers a row is broadcast only while it has at most this many rows, some 32 MB of numbers.
+BROADCAST_ROWS = 2_000_000
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded, if_small, mix, shingles, text_slices, written
+from .common import BROADCAST_ROWS, U64, bounded, if_small, mix, shingles, text_slices, written
 
 #: log2 of the hashed shingle universe that sigma and pi permute.
 UNIVERSE_BITS = 22
@@ -130,7 +130,10 @@ class Verifier:
         )
         of = self.signed.select(F.col("row").alias("node"), F.col("id").alias("own_id"), F.col("hash").alias("own_hash"), "key")
         need = written(of.join(if_small(need, 2 * n_pairs), "node"), "need")
-        found = self.docs.join(if_small(need, 2 * n_pairs, 100_000), F.col("hash").eqNullSafe(F.col("own_hash")) & F.col("id").eqNullSafe(F.col("own_id")))
+        n, docs = need.count(), self.docs
+        if 100_000 < n <= BROADCAST_ROWS:  # too much to broadcast whole: only texts whose hash is wanted move to the join
+            docs = docs.join(F.broadcast(need.select(F.col("own_hash").alias("hash")).distinct()), "hash", "left_semi")
+        found = docs.join(if_small(need, n, 100_000), F.col("hash").eqNullSafe(F.col("own_hash")) & F.col("id").eqNullSafe(F.col("own_id")))
         columns = ["key", "node", "mates", "leads", "text"]
         if self.repeated is None:
             found = found.select(*columns)
