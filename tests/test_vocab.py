@@ -49,12 +49,12 @@ def test_all_lengths_and_turns(spark, folder):
             lengths[len(p)] += 1
             hits[len(p)] += n
     assert set(lengths) == set(range(4, 33))
-    assert {(r.len, r.patterns, r.occurrences) for r in mining.frequency_map_all(spark, folder).collect()} == {(n, lengths[n], hits[n]) for n in lengths}
+    assert {(r.len, r.patterns, r.occurrences) for r in mining.frequency_map(spark, folder).collect()} == {(n, lengths[n], hits[n]) for n in lengths}
     rows = lambda df: sorted((r.conv_id, r.turn, bytes.fromhex(r.pattern), r.freq, r.saving) for r in df.collect())
     full = lambda pick: sorted((*k, p, f[p], (len(p) - 2) * f[p]) for k, f in every.items() for p in pick(k, f))
-    assert rows(mining.vocab_candidates_all(spark, folder)) == full(lambda k, f: f)
-    assert rows(mining.vocab_dominated_all(spark, folder)) == full(lambda k, f: pruned(f))
+    assert rows(mining.vocab_candidates(spark, folder)) == full(lambda k, f: f)
+    assert rows(mining.vocab_dominated(spark, folder)) == full(lambda k, f: pruned(f))
     data = {(c, t): (x or "").encode() for c, t, x in TEXTS}
     fires = full(lambda k, f: used(pruned(f)[:200], data[k]))
-    assert rows(mining.prune_to_fired_all(spark, folder)) == fires
+    assert rows(mining.prune_to_fired(spark, folder)) == fires
     assert len(fires) < len(full(lambda k, f: pruned(f)[:200]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.operators.codecs import LOG_MARKS, SHARDS
+from textloom.operators.codecs import LOG_MARKS, SHARDS, TIER_SLOTS
 
 STOP_WORDS = sorted("and are but for from has have in is not of that the their they this to was with".split())
 ROLE_SHARD = {"assistant": "assistant", "assistant_response": "assistant", "code_block": "code", "system": "system", "system_message": "system", "tool_call": "tool_call", "tool_result": "tool_result", "user": "user", "user_intent": "user"}
@@ -74,10 +74,35 @@ def alternation(patterns: list[str]) -> str:
     return "|".join(quoted(p) for p in sorted(set(patterns), key=lambda p: (-len(p), p)))
 
 
-def fnv1a_low32(ids: Column) -> Column:
-    """32-bit FNV-1a over the low bytes of an array of ids, in long arithmetic that can't overflow."""
-    step = lambda h, i: F.pmod((h.bitwiseXOR(F.pmod(i, F.lit(256)).cast("long"))) * F.lit(16777619), F.lit(1 << 32))
-    return F.aggregate(ids, F.lit(2166136261).cast("long"), step)
+def fnv1a(ids: Column) -> Column:
+    """64-bit FNV-1a over the low bytes of an array of ids, as decimal digits.
+
+    In two halves of 32 bits, as a product of 64 bits overflows: the prime is 2**40 + 0x1b3, so the low half's product
+    carries into the high one, and the low half shifted by 40 bits reaches only the high one."""
+    mask = F.lit(0xFFFFFFFF)
+
+    def step(h: Column, i: Column) -> Column:
+        low = h["low"].bitwiseXOR(F.pmod(i, F.lit(256)).cast("long"))
+        product = low * 0x1B3
+        high = h["high"] * 0x1B3 + F.shiftrightunsigned(product, 32) + F.shiftleft(low, 8)
+        return F.struct(high.bitwiseAND(mask).alias("high"), product.bitwiseAND(mask).alias("low"))
+
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("high"), F.lit(0x84222325).cast("long").alias("low"))
+    return F.aggregate(ids, start, step, lambda h: (h["high"].cast("decimal(20,0)") * (1 << 32) + h["low"]).cast("decimal(20,0)").cast("string"))
+
+
+def tier_of_id(token_id: Column, slots: tuple[int, ...] = TIER_SLOTS) -> Column:
+    """The tier of a token id from 1, when every tier but the last has all its slots."""
+    out, upto = None, 0
+    for tier, n in enumerate(slots[:-1]):
+        upto += n
+        out = F.when(token_id <= upto, tier) if out is None else out.when(token_id <= upto, tier)
+    return out.otherwise(len(slots) - 1)
+
+
+def key_prefix(key: Column, size: int = 12) -> Column:
+    """What is shown of a key."""
+    return F.substring(key, 1, size)
 
 
 def varint_hex(value: Column) -> Column:

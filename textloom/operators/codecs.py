@@ -11,6 +11,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from functools import lru_cache
 from typing import NamedTuple
 
 ESC = 1
@@ -227,6 +228,11 @@ def codon_decode(coded: bytes, patterns: list[bytes]) -> bytes:
     return b"".join(out)
 
 
+def covered(coded: bytes, patterns: list[bytes]) -> int:
+    """How many bytes the code's tokens and literals stand for, without decoding it."""
+    return sum(len(patterns[i - 1]) if i else len(raw) - raw.count(b"\x01\x00") for i, raw in spans(coded))
+
+
 def residual(coded: bytes) -> bytes:
     """The literals alone: tokens and escaped 0x01 are left out."""
     return b"".join(raw.replace(b"\x01\x00", b"") for i, raw in spans(coded) if not i)
@@ -313,13 +319,7 @@ def split_encode(data: bytes, matcher: Matcher, form: str) -> tuple[bytes, ...]:
 
 
 def split_decode(streams: tuple[bytes, ...], patterns: list[bytes], form: str) -> bytes:
-    def numbers(data: bytes) -> list[int]:
-        out, at = [], 0
-        while at < len(data):
-            value, at = read_varint(data, at)
-            out.append(value)
-        return out
-
+    numbers = _numbers
     if form == "v3":
         out, at = [], 0
         for i in numbers(streams[0]):
@@ -347,6 +347,49 @@ def _pattern(patterns: list[bytes], i: int) -> bytes:
     return patterns[i - 1]
 
 
+def _numbers(data: bytes) -> list[int]:
+    out, at = [], 0
+    while at < len(data):
+        value, at = read_varint(data, at)
+        out.append(value)
+    return out
+
+
+def split_tokens(streams: tuple[bytes, ...], form: str) -> int:
+    """How many tokens the streams hold."""
+    n = len(_numbers(streams[0]))
+    return n if form in ("v1", "v3", "v4") else n // 2
+
+
+def split_literals(streams: tuple[bytes, ...], form: str) -> bytes:
+    """The literals of the streams, end to end."""
+    if form != "v3":
+        return streams[1]
+    out, at = [], 0
+    for _ in _numbers(streams[0]):
+        size, at = read_varint(streams[1], at)
+        out.append(streams[1][at : at + size])
+        at += size
+    return b"".join(out) + streams[1][at:]
+
+
+def pack_plain(parts: tuple[bytes, ...]) -> bytes:
+    return dump_entries(list(parts))
+
+
+def unpack_plain(data: bytes) -> tuple[bytes, ...]:
+    return tuple(load_entries(data)[0])
+
+
+def token_facts(data: bytes) -> tuple[int, int, bool]:
+    """Of tokenized data, without decoding it: (bytes that it stands for, bytes that it says so, whether all entries fire)."""
+    patterns, at = load_entries(data, 4)
+    size, at = read_varint(data, at)
+    found = spans(data[at:])
+    covered = sum(len(patterns[i - 1]) if i else len(raw) - raw.count(b"\x01\x00") for i, raw in found)
+    return covered, size, {i for i, _ in found if i} == set(range(1, len(patterns) + 1))
+
+
 # entropy coding -----------------------------------------------------------------------------------------------------------
 
 def normalise(counts: list[int]) -> list[int]:
@@ -589,6 +632,23 @@ def lz_decode(coded: bytes, mark: int = 2) -> bytes:
     return bytes(out)
 
 
+def lz_facts(coded: bytes, mark: int = 2) -> tuple[int, int, int]:
+    """(literal bytes, bytes that references stand for, references) of a code."""
+    at, literals, copied, refs = 0, 0, 0, 0
+    while at < len(coded):
+        at += 1
+        if coded[at - 1] != mark:
+            literals += 1
+            continue
+        size, at = read_varint(coded, at)
+        if not size:
+            literals += 1
+            continue
+        copied, refs = copied + size, refs + 1
+        _, at = read_varint(coded, at)
+    return literals, copied, refs
+
+
 def local_encode(data: bytes) -> bytes:
     """References within the last 64 bytes only."""
     return lz_encode(data, mark=3, least=4, window=64)
@@ -645,10 +705,103 @@ def decompress(data: bytes, tables: dict[int, list[int]] | None = None) -> bytes
     return detokenize(payload)
 
 
-def compress_batch(messages: list[bytes]) -> list[bytes]:
-    """Each message's frame with one vocabulary mined over all of them together."""
+class Stats(NamedTuple):
+    input_bytes: int
+    tokenized_bytes: int
+    compressed_bytes: int
+    framed_bytes: int
+    mode: str
+
+
+_NAMES = {RAW: "raw", CODON: "codon", DEFLATE | CODON: "deflate", ORDER1 | CODON: "order1"}
+
+
+def stats(data: bytes, mode: str = "auto") -> Stats:
+    """The sizes at every step of compress, and the form that was taken."""
+    framed = compress(data, mode)
+    flags, payload = unframe(framed)
+    return Stats(len(data), len(tokenize(data)), len(payload), len(framed), _NAMES[flags])
+
+
+def compress_batch(messages: list[bytes], majority: bool = False) -> list[bytes]:
+    """Each message's frame with one vocabulary mined over all of them together; majority: all in the mode that is the
+    smallest for most, of equally many the first by name."""
     shared = first_pass(b"".join(messages))
-    return [compress(m, "auto", shared) for m in messages]
+    frames = [compress(m, "auto", shared) for m in messages]
+    if not majority or not messages:
+        return frames
+    votes = Counter(_NAMES[unframe(f)[0]] for f in frames)
+    mode = min(votes, key=lambda m: (-votes[m], m))
+    return [compress(m, mode, shared) for m in messages]
+
+
+@lru_cache(maxsize=8)
+def cached_matcher(patterns: tuple[bytes, ...]) -> Matcher:
+    """A matcher that a worker keeps for a vocabulary."""
+    return Matcher(list(patterns))
+
+
+def fast_compress(data: bytes, patterns: tuple[bytes, ...]) -> bytes:
+    """The quick path: one pass with a kept matcher, deflated if that is smaller; no vocabulary is learned or stored."""
+    return smaller(codon_encode(data, cached_matcher(patterns)))
+
+
+def fast_decompress(coded: bytes, patterns: tuple[bytes, ...]) -> bytes:
+    return codon_decode(unsmaller(coded), list(patterns))
+
+
+def overlapping_encode(data: bytes, patterns: list[bytes]) -> bytes:
+    """codon_encode by all matches: the longest at every position, then those that don't overlap, from the left."""
+    by_head: dict[bytes, list[bytes]] = {}
+    for p in sorted({p for p in patterns if len(p) >= MIN_PATTERN}, key=lambda p: (-len(p), p)):
+        by_head.setdefault(p[:MIN_PATTERN], []).append(p)
+    ids = {p: i for i, p in reversed(list(enumerate(patterns, 1)))}
+    longest = ((i, next((p for p in by_head.get(data[i : i + MIN_PATTERN], ()) if data.startswith(p, i)), None)) for i in range(len(data)))
+    out, at = [], 0
+    for i, p in longest:
+        if p and i >= at:
+            out += (escape(data[at:i]), b"\x01", varint(ids[p]))
+            at = i + len(p)
+    return b"".join(out) + escape(data[at:])
+
+
+def layered(patterns: list[bytes]) -> dict:
+    """Codecs in layers over the codon form, (encode, decode) by name: codon; overlapping, its form by all matches; cached,
+    ids of one byte alone; deflate, ans, backref on top of it; full, references back and ANS on top of it."""
+    matcher, few = Matcher(patterns), Matcher(patterns[:254])
+    codon = (lambda d: codon_encode(d, matcher)), (lambda c: codon_decode(c, patterns))
+    on = lambda there, back: ((lambda d: there(codon[0](d))), (lambda c: codon[1](back(c))))
+    return {
+        "codon": codon, "overlapping": (lambda d: overlapping_encode(d, patterns), codon[1]), "cached": (lambda d: codon_encode(d, few), codon[1]),
+        "deflate": on(smaller, unsmaller), "ans": on(ans_encode, ans_decode), "backref": on(lz_encode, lz_decode), "full": on(lambda d: ans_encode(lz_encode(d)), lambda c: lz_decode(ans_decode(c))),
+    }
+
+
+def layered_tokens(code: bytes, name: str, patterns: list[bytes]) -> int:
+    """The tokens in the codon form beneath a code of layered."""
+    beneath = {"deflate": unsmaller, "ans": ans_decode, "backref": lz_decode, "full": lambda c: lz_decode(ans_decode(c))}
+    return sum(1 for i, _ in spans(beneath.get(name, bytes)(code)) if i)
+
+
+def package_compress(data: bytes, matcher: Matcher, dictionary: bytes) -> bytes:
+    """The gap and id pairs deflated, their length before them, then the literals deflated with a static dictionary."""
+    pairs, text = split_encode(data, matcher, "v2")
+    head = deflate(pairs)
+    return struct.pack("<I", len(head)) + head + deflate(text, dictionary)
+
+
+def _package(data: bytes, dictionary: bytes | None) -> tuple[bytes, bytes]:
+    if len(data) < 4 or len(data) < 4 + (n := struct.unpack_from("<I", data)[0]):
+        raise CodecError("truncated")
+    return inflate(data[4 : 4 + n]), b"" if dictionary is None else inflate(data[4 + n :], dictionary)
+
+
+def package_decompress(data: bytes, patterns: list[bytes], dictionary: bytes) -> bytes:
+    return split_decode(_package(data, dictionary), patterns, "v2")
+
+
+def package_tokens(data: bytes) -> int:
+    return split_tokens(_package(data, None), "v2")
 
 
 def pack_streams(streams: tuple[bytes, ...], dictionary: bytes = b"") -> bytes:
@@ -692,6 +845,27 @@ def unsplit_batch(data: bytes, patterns: list[bytes], form: str = "v4", dictiona
     return out
 
 
+def batch_tokens(data: bytes, form: str = "v4") -> list[int]:
+    """The tokens of each message of a batch, by the lengths in its header; ids of one byte."""
+    _, at = read_varint(data, 0)
+    n, at = read_varint(data, at)
+    width, out = 3 if form in ("v1", "v4") else 2, []
+    for _ in range(n):
+        sizes = []
+        for _ in range(width):
+            size, at = read_varint(data, at)
+            sizes.append(size)
+        out.append(sizes[0])
+    return out
+
+
+def shard_facts(data: bytes) -> tuple[int, int, int]:
+    """(shard code, version of the upper tiers, entries of its own tier) of a shard frame."""
+    _, body = unframe(data)
+    version, at = read_varint(body, 1)
+    return body[0], version, read_varint(body, at)[0]
+
+
 # shards ---------------------------------------------------------------------------------------------------------------------
 
 SHARDS = {"generic": 0, "system": 1, "user": 2, "assistant": 3, "code": 4, "tool_call": 5, "tool_result": 6}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,39 +20,64 @@ def batches(turns: DataFrame, key: str, order: str, size: int) -> DataFrame:
     return turns.withColumn("batch", F.floor(place / size).cast("int"))
 
 
-def _grouped(turns: DataFrame, key: str, order: str, text_col: str, size: int, there_and_back) -> DataFrame:
+def _grouped(turns: DataFrame, key: str, order: str, text_col: str, size: int, there_and_back, fact: tuple[str, str, pa.DataType], history: DataFrame | None = None) -> DataFrame:
+    """Each batch of size rows there and back. there_and_back(messages, dictionary) gives the messages again and a fact of
+    each one's code; history (key, dictionary) gives the dictionary, whose length is then a column too."""
     kinds = dict(turns.dtypes)
+    name, sql, arrow = fact
+    more = ["dictionary_bytes"] if history is not None else []
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(order)
-        back = there_and_back([bytes(x or b"") for x in table.column("data").to_pylist()])
+        given = bytes(table.column("dictionary")[0].as_py() or b"") if more else b""
+        back, facts = there_and_back([bytes(x or b"") for x in table.column("data").to_pylist()], given)
         hashes = [hashlib.sha256(x).hexdigest() for x in back]
-        return pa.table({key: table.column(key), order: table.column(order), "restored_sha256": pa.array(hashes, pa.string()), "n_bytes": pa.array(map(len, back), pa.int64())})
+        columns = {key: table.column(key), order: table.column(order), "restored_sha256": pa.array(hashes, pa.string()), "n_bytes": pa.array(map(len, back), pa.int64()), name: pa.array(facts, arrow)}
+        return pa.table(columns | {c: pa.array([len(given)] * len(back), pa.int64()) for c in more})
 
     slim = batches(turns, key, order, size).select(key, "batch", order, F.encode(text_col, "UTF-8").alias("data"))
-    return slim.groupBy(key, "batch").applyInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, restored_sha256 string, n_bytes long")
+    slim = slim.join(history, key) if history is not None else slim
+    return slim.groupBy(key, "batch").applyInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, restored_sha256 string, n_bytes long, {name} {sql}" + "".join(f", {c} long" for c in more))
 
 
-def batch_roundtrip(turns: DataFrame, key: str, order: str, text_col: str, size: int) -> DataFrame:
-    return _grouped(turns, key, order, text_col, size, lambda m: [codecs.decompress(x) for x in codecs.compress_batch(m)])
+def batch_roundtrip(turns: DataFrame, key: str, order: str, text_col: str, size: int, majority: bool = False) -> DataFrame:
+    """frame_ok: a frame of the batch's vocabulary no larger than the raw one, and with majority of the same mode as all."""
 
+    def run(messages: list[bytes], _: bytes):
+        frames = codecs.compress_batch(messages, majority)
+        modes = {codecs.unframe(f)[0] for f in frames}
+        ok = [len(modes) == 1 if majority else len(f) <= len(m) + 14 for f, m in zip(frames, messages)]
+        return [codecs.decompress(f) for f in frames], ok
 
-def split_batch_roundtrip(turns: DataFrame, key: str, order: str, text_col: str, size: int, patterns: list[bytes]) -> DataFrame:
-    return _grouped(turns, key, order, text_col, size, lambda m: codecs.unsplit_batch(codecs.split_batch(m, codecs.Matcher(patterns)), patterns))
+    return _grouped(turns, key, order, text_col, size, run, ("frame_ok", "boolean", pa.bool_()))
 
 
-def shard_roundtrip(turns: DataFrame, upper: list[bytes]) -> DataFrame:
-    """Each turn as a frame of its shard type, with its own tier above the given ones, and back."""
+def split_batch_roundtrip(turns: DataFrame, key: str, order: str, text_col: str, size: int, patterns: list[bytes], history: DataFrame | None = None) -> DataFrame:
+    def run(messages: list[bytes], dictionary: bytes):
+        code = codecs.split_batch(messages, codecs.cached_matcher(tuple(patterns)), "v4", dictionary)
+        return codecs.unsplit_batch(code, patterns, "v4", dictionary), codecs.batch_tokens(code)
+
+    return _grouped(turns, key, order, text_col, size, run, ("n_tokens", "long", pa.int64()), history)
+
+
+def shard_roundtrip(turns: DataFrame, upper: list[bytes], version: int = 7) -> DataFrame:
+    """Each turn as a frame of its shard type, with its own tier above the given ones, and back; what the frame says of
+    itself is read from its bytes."""
     slim = turns.withColumn("shard", B.shard_of(F.col("role")))
-    kinds = slim.select("conv_id", "turn", "shard", F.encode("text", "UTF-8").alias("data"))
+    slim = slim.select("conv_id", "turn", "shard", F.encode("text", "UTF-8").alias("data"))
 
     def run(rows):
         for batch in rows:
-            back = [codecs.shard_decompress(codecs.shard_compress(bytes(d or b""), s, upper), s, upper) for s, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()), pa.array(map(len, back), pa.int64())], ["conv_id", "turn", "shard", "restored_sha256", "n_bytes"])
+            out = []
+            for s, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                code = codecs.shard_compress(bytes(d or b""), s, upper, version)
+                back = codecs.shard_decompress(code, s, upper, version)
+                out.append((hashlib.sha256(back).hexdigest(), len(back), *codecs.shard_facts(code)))
+            columns = list(zip(*out)) or [()] * 5
+            kinds = (pa.string(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip(columns, kinds))], ["conv_id", "turn", "restored_sha256", "n_bytes", "shard_code", "version", "own_entries"])
 
-    out = kinds.mapInArrow(run, "conv_id long, turn long, shard string, restored_sha256 string, n_bytes long")
-    return out.select("conv_id", "turn", "restored_sha256", "n_bytes", B.shard_code(F.col("shard")).alias("shard_code"))
+    return slim.mapInArrow(run, "conv_id long, turn long, restored_sha256 string, n_bytes long, shard_code long, version long, own_entries long")
 
 
 def identities(docs: DataFrame, text_col: str, upper: list[bytes], shard: str = "generic", session: str = "") -> DataFrame:
@@ -68,21 +94,42 @@ def history_dictionary(turns: DataFrame, key: str, order: str, text_col: str, fi
     return whole.select(key, F.length("all").alias("literal_bytes"), F.expr(f"right(all, {size})").alias("dictionary"))
 
 
-def _signs_of(df: DataFrame, text_col: str) -> DataFrame:
-    """signs: each text's bytes as one-character strings; they are counted as such and named once counted."""
-    return df.select(F.filter(F.split(B.byte_view(F.col(text_col)), ""), lambda c: c != "").alias("signs"))
+def _tally(df: DataFrame, text_col: str, size: int, values, schema: str) -> DataFrame:
+    """How often each of size numbers occurs among values(bytes, first position of each text and the end), by task."""
+
+    def run(rows):
+        total = np.zeros(size, np.int64)
+        for batch in rows:
+            data = batch.column(0).cast(pa.large_binary())
+            if data.null_count:
+                data = data.fill_null(b"")
+            ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+            raw = np.frombuffer(data.buffers()[2], np.uint8) if ends[-1] else np.zeros(0, np.uint8)
+            for at in range(0, len(data), 1024):
+                cut = ends[at : at + 1025]
+                total += np.bincount(values(raw[cut[0] : cut[-1]], cut - cut[0]), minlength=size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["value", "n"])
+
+    return df.select(F.encode(text_col, "UTF-8")).mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).selectExpr(*schema)
 
 
 def histogram(df: DataFrame, text_col: str) -> DataFrame:
-    """byte, n over all texts."""
-    return _signs_of(df, text_col).select(F.explode("signs").alias("sign")).groupBy("sign").agg(F.count("*").alias("n")).select(F.ascii("sign").alias("byte"), "n")
+    """byte, n over all texts; a task sends 256 numbers."""
+    return _tally(df, text_col, 256, lambda data, ends: data, ["cast(value as int) as byte", "n"])
 
 
 def bigrams(df: DataFrame, text_col: str) -> DataFrame:
-    """previous, byte, n over neighbours within a text."""
-    pairs = F.arrays_zip(F.slice("signs", F.lit(1), F.size("signs") - 1).alias("a"), F.slice("signs", F.lit(2), F.size("signs") - 1).alias("b"))
-    pairs = _signs_of(df, text_col).where(F.size("signs") > 1).select(F.explode(pairs).alias("p"))
-    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).select(F.ascii("a").alias("previous"), F.ascii("b").alias("byte"), "n")
+    """previous, byte, n over neighbours within a text; a task sends 65,536 numbers at most."""
+
+    def pairs(data, ends):
+        both = data[:-1].astype(np.int64) << 8 | data[1:]
+        within = np.ones(len(both), bool)
+        last = ends[1:-1] - 1  # a text's last byte and the next text's first aren't neighbours
+        within[last[(last >= 0) & (last < len(both))]] = False
+        return both[within]
+
+    return _tally(df, text_col, 1 << 16, pairs, ["cast(value div 256 as int) as previous", "cast(value % 256 as int) as byte", "n"])
 
 
 def normalised(counts: DataFrame) -> DataFrame:
@@ -109,4 +156,4 @@ def pretrained_roundtrip(turns: DataFrame, text_col: str) -> DataFrame:
     code = split.byte_udf(lambda d: codecs.order1_encode(d, shared.value), "binary")
     back = split.byte_udf(lambda c: codecs.order1_decode(c, shared.value), "binary")
     coded = turns.withColumn("code", code(F.encode(text_col, "UTF-8"))).withColumn("back", back("code"))
-    return coded.select("conv_id", "turn", F.sha2("back", 256).alias("restored_sha256"), F.octet_length("back").cast("long").alias("n_bytes"), (F.octet_length("code") > 0).alias("frame_ok"))
+    return coded.select("conv_id", "turn", F.sha2("back", 256).alias("restored_sha256"), F.octet_length("back").cast("long").alias("n_bytes"), (F.octet_length("code") < F.octet_length("back")).alias("packed"))

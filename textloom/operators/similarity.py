@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.tables import numbered
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -18,10 +24,40 @@ def mean_pooled(tokens: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     return mean.select(key, F.when(norm > 0, F.transform("v", lambda x: x / norm)).otherwise(F.col("v")).alias("vec"))
 
 
-def earlier_top_k(rows: DataFrame, pos: str, vec: str, k: int, over: float, reach: int) -> DataFrame:
-    """(query, neighbor, rank, score): of the reach rows before each, the k most similar above over. A band join on
-    blocks of reach positions, so the work grows in proportion, not with the square."""
-    q = rows.select(F.col(pos).alias("query"), F.col(vec).alias("q"), F.explode(F.array(F.expr(f"{pos} div {reach}"), F.expr(f"{pos} div {reach} - 1"))).alias("block"))
-    h = rows.select(F.col(pos).alias("neighbor"), F.col(vec).alias("h"), F.expr(f"{pos} div {reach}").alias("block"))
-    near = q.join(h, "block").where((F.col("neighbor") < F.col("query")) & (F.col("neighbor") >= F.col("query") - reach)).withColumn("score", F.round(dot("q", "h"), 4)).where(F.col("score") > over)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "neighbor")).cast("long")).where(F.col("rank") <= k).select("query", "neighbor", "rank", "score")
+def earlier_top_k(rows: DataFrame, pos: str, vec: str, queries: Column, k: int, over: float, block: int = 4_096) -> DataFrame:
+    """(query, neighbor, rank, score): of all rows before each query the k most similar above over, ties to the first.
+
+    queries: which rows ask. Blocks of that many of them are broadcast one after another, and each is held against all
+    rows where these lie, so a task sends k rows a query and nothing else moves.
+    """
+    asked, n = numbered(rows.where(queries).select(F.col(pos).cast("long").alias("query"), F.col(vec).cast("array<double>").alias("q")), ["query"], "place")
+    every = rows.select(F.col(pos).cast("long"), F.col(vec).cast("array<double>"))
+    found = None
+    for first in range(0, n, block):
+        own = asked.where((F.col("place") >= first) & (F.col("place") < first + block)).select("query", "q").toArrow()
+        near = every.mapInArrow(_nearest(rows.sparkSession.sparkContext.broadcast(own), k, over), "query long, neighbor long, score double")
+        found = near if found is None else found.unionAll(near)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "query long, neighbor long, rank long, score double")
+    scored = found.withColumn("score", F.round("score", 4)).where(F.col("score") > over)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "neighbor")).cast("long")).where(F.col("rank") <= k).select("query", "neighbor", "rank", "score")
+
+
+def _nearest(shared, k: int, over: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = shared.value.column("query").to_numpy(), np.stack(shared.value.column("q").to_numpy(zero_copy_only=False))
+        at, score = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            fresh = q @ np.stack(batch.column(1).to_numpy(zero_copy_only=False)).T
+            fresh[(ids[None, :] >= own[:, None]) | ~(fresh > over - 1e-3)] = -np.inf
+            at, score = np.c_[at, np.broadcast_to(ids, fresh.shape)], np.c_[score, fresh]
+            # By the rounded score, as ties are: what is equal to four places goes to the first row.
+            order = np.lexsort((at, -np.round(score, 4)))[:, : 2 * k]
+            at, score = np.take_along_axis(at, order, 1), np.take_along_axis(score, order, 1)
+        row, col = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(at[row, col]), pa.array(score[row, col])], ["query", "neighbor", "score"])
+
+    return run

@@ -134,13 +134,16 @@ def promoted_to_one(tier2: DataFrame, tier1: DataFrame, shard: str) -> DataFrame
     return top(tier1.select(shard, "pattern", "freq", "saving").unionByName(fresh), [shard], L1_SLOTS)
 
 
-def tiers(levels: list[DataFrame], slots: tuple[int, ...] = codecs.TIER_SLOTS) -> DataFrame:
-    """(tier, pattern, freq, saving, token_id): the tiers one after the other, each with its slots, ids without gaps."""
-    parts = [top(df.select("pattern", "freq", "saving"), [], n).withColumn("tier", F.lit(t)) for t, (df, n) in enumerate(zip(levels, slots))]
+def tiers(levels: list[DataFrame], keys: list[str] | None = None, slots: tuple[int, ...] = codecs.TIER_SLOTS) -> DataFrame:
+    """(keys, tier, pattern, freq, saving, token_id): each key's tiers one after the other, each with its slots, ids without
+    gaps."""
+    keys = keys or []
+    parts = [top(df.select(*keys, "pattern", "freq", "saving"), keys, n).withColumn("tier", F.lit(t)) for t, (df, n) in enumerate(zip(levels, slots))]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.withColumn("token_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("tier", "rank")).cast("long")).select("tier", "pattern", "freq", "saving", "token_id")
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("tier", "rank")  # at most 254 entries a key
+    return every.withColumn("token_id", F.row_number().over(order).cast("long")).select(*keys, "tier", "pattern", "freq", "saving", "token_id")
 
 
 def static_dictionary(entries: DataFrame, n: int = 5_000) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom import tables
 from textloom.functions import bytesview as B
 from textloom.operators import similarity, split
+from textloom.operators.ranks import percentiles_at
 
 from .coding import ALT, turns
 from .corpora import docs
@@ -21,10 +23,14 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_in"), (F.length("lits") + F.size("toks")).cast("long").alias("n_out"))
 
 
-@query("""SELECT a.vec_id AS query, b.vec_id AS neighbor, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) DESC, b.vec_id) AS rank,
-  round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id AND b.vec_id >= a.vec_id - 64 WHERE round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) > 0.3 QUALIFY rank <= 3""")
+_NEAR = """s AS (SELECT a.vec_id AS query, b.vec_id AS neighbor, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) DESC, b.vec_id) AS rank,
+  round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id WHERE a.vec_id % 100 = 0 AND round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) > 0.3 QUALIFY rank <= 3)"""
+
+
+@query(f"WITH {_NEAR} SELECT query, neighbor, rank, score FROM s")
 def cosine_topk_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.earlier_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 3, 0.3, 64)
+    """Of all earlier vectors the three most similar to each whose id is divisible by 100."""
+    return similarity.earlier_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 3, 0.3)
 
 
 _WORDS = f"w AS (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9'']{{2,}}')) AS word FROM conversations), k AS (SELECT conv_id, word FROM w WHERE word NOT IN ({', '.join(repr(x) for x in B.STOP_WORDS)}))"
@@ -39,16 +45,17 @@ def mean_word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.mean_pooled(tokens, vectors, "conv_id").select("conv_id", F.round(F.col("vec")[0], 6).alias("x"), F.round(F.col("vec")[1], 6).alias("y"))
 
 
-@query("""WITH s AS (SELECT a.vec_id AS q, b.vec_id AS h, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) DESC, b.vec_id) AS rank
-  FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id AND b.vec_id >= a.vec_id - 64 WHERE round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) > 0.3 QUALIFY rank <= 3)
-SELECT vec_id AS query, CAST(least(3, (SELECT count(*) FROM embeddings e WHERE e.vec_id < x.vec_id)) AS BIGINT) AS sequential, count(s.h) AS semantic, count(s.h) FILTER (s.h >= vec_id - 3) AS shared FROM embeddings x LEFT JOIN s ON s.q = vec_id GROUP BY vec_id""")
+@query(f"""WITH {_NEAR}, p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings)
+SELECT x.vec_id AS query, CAST(least(3, any_value(x.place)) AS BIGINT) AS sequential, count(s.neighbor) AS semantic, count(s.neighbor) FILTER (y.place >= x.place - 3) AS shared
+FROM p x LEFT JOIN s ON s.query = x.vec_id LEFT JOIN p y ON y.vec_id = s.neighbor WHERE x.vec_id % 100 = 0 GROUP BY x.vec_id""")
 def warm_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two ways to warm a window: the last three items, or the three most similar earlier ones."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    near = similarity.earlier_top_k(e, "vec_id", "embedding", 3, 0.3, 64)
-    before = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("vec_id")) - 1
-    counts = near.groupBy("query").agg(F.count("*").alias("n"), F.count_if(F.col("neighbor") >= F.col("query") - 3).alias("both"))
-    every = e.select(F.col("vec_id").alias("query"), F.least(F.lit(3), before).cast("long").alias("sequential"))
+    """Two ways to warm a window: the last three items, or the three most similar of all earlier ones."""
+    e, _ = tables.numbered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), ["vec_id"], "place")
+    near = similarity.earlier_top_k(e, "vec_id", "embedding", F.col("vec_id") % 100 == 0, 3, 0.3)
+    at = e.select("vec_id", "place")
+    pair = near.join(at.toDF("query", "q_place"), "query").join(at.toDF("neighbor", "n_place"), "neighbor")
+    counts = pair.groupBy("query").agg(F.count("*").alias("n"), F.count_if(F.col("n_place") >= F.col("q_place") - 3).alias("both"))
+    every = at.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.least(F.lit(3), F.col("place")).cast("long").alias("sequential"))
     return every.join(counts, "query", "left").select("query", "sequential", F.coalesce("n", F.lit(0)).alias("semantic"), F.coalesce("both", F.lit(0)).alias("shared"))
 
 
@@ -61,8 +68,11 @@ def ratio_by_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_SIZES}, c AS (SELECT source, row_number() OVER w AS n, sum(n_in) OVER w AS a, sum(n_out) OVER w AS b FROM s WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))
 SELECT source, n, CAST(a AS BIGINT) AS bytes_in, round(a::DOUBLE / greatest(b, 1), 6) AS ratio FROM c WHERE n IN (10, 50, 100, 500, 1000, 2000)""")
 def ratio_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    c = sizes(spark, sf_dir).select("source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("n"), F.sum("n_in").over(w).alias("bytes_in"), F.sum("n_out").over(w).alias("b"))
+    order = Window.partitionBy("source").orderBy("doc_id")
+    first = docs(spark, sf_dir).select("doc_id", "source").withColumn("n", F.row_number().over(order).cast("long")).where("n <= 2000")  # ids alone, cut off before the shuffle
+    upto = Window.partitionBy("source").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    few = sizes(spark, sf_dir).join(F.broadcast(first.select("doc_id", "n")) if first.limit(200_001).count() <= 200_000 else first.select("doc_id", "n"), "doc_id")
+    c = few.select("source", "n", F.sum("n_in").over(upto).alias("bytes_in"), F.sum("n_out").over(upto).alias("b"))
     return c.where(F.col("n").isin(10, 50, 100, 500, 1000, 2000)).select("source", "n", "bytes_in", F.round(F.col("bytes_in") / F.greatest("b", F.lit(1)), 6).alias("ratio"))
 
 
@@ -77,11 +87,10 @@ def seed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, list_sort(list(value))[CAST(least(count(value) - 1, floor(0.5 * count(value))) AS BIGINT) + 1] AS p50, list_sort(list(value))[CAST(least(count(value) - 1, floor(0.95 * count(value))) AS BIGINT) + 1] AS p95 FROM events GROUP BY event_type")
 def percentile_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles at floor(p n): by ranks, so that no group has to fit into one row."""
-    w = Window.partitionBy("event_type")
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null").select("event_type", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("r"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("r") == F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))), F.col("value")))
-    return e.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    """Percentiles at floor(p n), by places in the whole order, so that no group has to fit into one task."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null")
+    n = e.groupBy("event_type", "value").agg(F.count("*").alias("n"))  # equal values count before they move
+    return percentiles_at(n, "event_type", "value", "n", {"p50": 0.5, "p95": 0.95})
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from .registry import query
 ALT = B.alternation(split.TEXT_PATTERNS)
 #: Every turn with the hash of its bytes, its size and the tokens that the fixed vocabulary finds.
 _TURN = f"SELECT conv_id, turn, sha256(text) AS restored_sha256, octet_length(encode(text)) AS n_bytes, len(regexp_extract_all(text, '{ALT}', 0)) AS n_tokens FROM conversations"
-_PLAIN = "SELECT conv_id, turn, sha256(text) AS restored_sha256, octet_length(encode(text)) AS n_bytes, true AS frame_ok FROM conversations"
 PATTERNS = [p.encode() for p in split.TEXT_PATTERNS]
+_MATCHER = codecs.Matcher(PATTERNS)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,75 +40,113 @@ def split_v4_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("conv_id", "turn", F.sha2(F.encode(back, "ISO-8859-1"), 256).alias("restored_sha256"), size.cast("long").alias("n_bytes"), F.size("toks").cast("long").alias("n_tokens"))
 
 
-def _split_roundtrip(form: str):
-    kind = "struct<back:binary,n:bigint>"
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        def there_and_back(data: bytes) -> dict:
-            matcher = codecs.Matcher(PATTERNS)
-            streams = codecs.split_encode(data, matcher, form)
-            return {"back": codecs.split_decode(streams, PATTERNS, form), "n": len(matcher.pieces(data)[0])}
+def _matched(t: str = "text") -> str:
+    """SQL: the bytes of t that the fixed vocabulary's matches cover."""
+    return f"(octet_length(encode({t})) - octet_length(encode(regexp_replace({t}, '{ALT}', '', 'g'))))"
 
-        c = turns(spark, sf_dir).withColumn("c", split.byte_udf(there_and_back, kind)(F.encode("text", "UTF-8")))
-        return c.select("conv_id", "turn", F.sha2("c.back", 256).alias("restored_sha256"), F.octet_length("c.back").cast("long").alias("n_bytes"), F.col("c.n").alias("n_tokens"))
 
-    run.__name__ = f"split_{form}_roundtrip"
-    return query(_TURN)(run)
+_N, _TOKENS, _BYTES = "octet_length(encode(text))", f"len(regexp_extract_all(text, '{ALT}', 0))", "regexp_extract_all(hex(encode(text)), '..')"
 
 
-for _form in ("v1", "v2", "v3", "interleaved"):
-    _split_roundtrip(_form)
+def _roundtrip(name: str, encode: Callable[[bytes], bytes], decode: Callable[[bytes], bytes], **facts: tuple[Callable[[bytes, int], int], str]) -> None:
+    """A query that encodes every turn and decodes it. facts: what the code holds, as a function of the code and the text's
+    length, and the SQL that says it of the text alone, so that a code that leaves the text as it is doesn't pass."""
 
-
-def _roundtrip(name: str, encode, decode, framed: bool = False):
-    """Encodes every turn and decodes it; a framed code must begin with the magic."""
+    def there_and_back(data: bytes) -> dict:
+        code = encode(data)
+        return {"back": decode(code), **{k: int(f(code, len(data))) for k, (f, _) in facts.items()}}
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = turns(spark, sf_dir).withColumn("code", split.byte_udf(encode, "binary")(F.encode("text", "UTF-8")))
-        back = c.withColumn("back", split.byte_udf(decode, "binary")("code"))
-        ok = F.substring("code", 1, 4) == F.lit(codecs.MAGIC) if framed else F.octet_length("code") > 0
-        return back.select("conv_id", "turn", F.sha2("back", 256).alias("restored_sha256"), F.octet_length("back").cast("long").alias("n_bytes"), ok.alias("frame_ok"))
+        kind = "struct<back:binary," + ",".join(f"{k}:bigint" for k in facts) + ">"
+        c = turns(spark, sf_dir).select("conv_id", "turn", split.byte_udf(there_and_back, kind)(F.encode("text", "UTF-8")).alias("c"))
+        return c.select("conv_id", "turn", F.sha2("c.back", 256).alias("restored_sha256"), F.octet_length("c.back").cast("long").alias("n_bytes"), *(F.col(f"c.{k}").alias(k) for k in facts))
 
     run.__name__ = name
-    query(_PLAIN)(run)
-
+    query(f"SELECT conv_id, turn, sha256(text) AS restored_sha256, {_N} AS n_bytes, {', '.join(f'CAST({x} AS BIGINT) AS {k}' for k, (_, x) in facts.items())} FROM conversations")(run)
 
-def _matched(f):
-    return lambda data: f(data, codecs.Matcher(PATTERNS))
 
+def _split_facts(form: str) -> dict:
+    def literals(code: bytes, _: int) -> int:
+        streams = codecs.unpack_plain(code)
+        return len(codecs.split_literals(streams, form))
 
-_roundtrip("codon_roundtrip", _matched(codecs.codon_encode), lambda c: codecs.codon_decode(c, PATTERNS))
-_roundtrip("two_pass_roundtrip", codecs.tokenize, codecs.detokenize)
-_roundtrip("ans_roundtrip", codecs.ans_encode, codecs.ans_decode)
-_roundtrip("ans_bits_roundtrip", codecs.ans_bits_encode, codecs.ans_bits_decode)
-_roundtrip("ans_o1_roundtrip", codecs.order1_encode, codecs.order1_decode)
-_roundtrip("backref_roundtrip", codecs.lz_encode, codecs.lz_decode)
-_roundtrip("literal_lz_roundtrip", lambda d: codecs.lz_encode(d, mark=1, least=4, most=255), lambda c: codecs.lz_decode(c, mark=1))
-_roundtrip("local_repeat_roundtrip", codecs.local_encode, codecs.local_decode)
-_roundtrip("deflate_roundtrip", codecs.deflate, codecs.inflate)
-_roundtrip("stored_deflate_roundtrip", lambda d: codecs.deflate(d, level=0), codecs.inflate)
-_roundtrip("frame_roundtrip", lambda d: codecs.frame(d, codecs.RAW), lambda c: codecs.unframe(c)[1], True)
-for _mode in ("auto", "codon", "deflate", "order1"):
-    _roundtrip(f"pipeline_{_mode}_roundtrip", lambda d, m=_mode: codecs.compress(d, m), codecs.decompress, True)
-_roundtrip("layered_roundtrip", lambda d: codecs.ans_encode(codecs.lz_encode(codecs.codon_encode(d, codecs.Matcher(PATTERNS)))), lambda c: codecs.codon_decode(codecs.lz_decode(codecs.ans_decode(c)), PATTERNS))
-_roundtrip("dictionary_deflate_roundtrip", lambda d: codecs.smaller(d, b"".join(PATTERNS)), lambda c: codecs.unsmaller(c, b"".join(PATTERNS)))
-_roundtrip("window_snapshot_roundtrip", lambda d: codecs.dump_window(codecs.mine(d)) + d, lambda c: c[len(codecs.dump_window(codecs.load_window(c))):])
+    return {"n_tokens": (lambda code, _: codecs.split_tokens(codecs.unpack_plain(code), form), _TOKENS), "literal_bytes": (literals, f"{_N} - {_matched()}")}
 
 
-@query("SELECT conv_id, turn, sha256(text) AS restored_sha256, octet_length(encode(text)) AS n_bytes FROM conversations")
+for _form in ("v1", "v2", "v3", "interleaved"):
+    _roundtrip(f"split_{_form}_roundtrip", lambda d, f=_form: codecs.pack_plain(codecs.split_encode(d, _MATCHER, f)), lambda c, f=_form: codecs.split_decode(codecs.unpack_plain(c), PATTERNS, f), **_split_facts(_form))
+
+#: Every text of some length that isn't noise gets shorter.
+_PACKED = (lambda code, n: n < 200 or len(code) < n, "1")
+_SYMBOLS = (lambda code, _: codecs.read_varint(code, codecs.read_varint(code, 0)[1])[0], f"len(list_distinct({_BYTES}))")
+_TOKENS_OF = (lambda code, _: sum(1 for i, _ in codecs.spans(code) if i), _TOKENS)
+_CODE = (lambda code, _: len(code), f"{_N} - {_matched()} + 2 * {_TOKENS}")
+_repeat = lambda size: f"CASE WHEN {_N} < {size + 1} THEN 0 WHEN len(list_distinct(list_transform(generate_series(1, {_N} - {size - 1}), lambda i: substr(hex(encode(text)), 2 * i - 1, {2 * size})))) < {_N} - {size - 1} THEN 1 ELSE 0 END"
+
+
+def _references(mark: int, least: int) -> dict:
+    """What a code of references back covers, and whether it has any: it has if some run of least bytes repeats."""
+    return {"covered": (lambda code, _: sum(codecs.lz_facts(code, mark)[:2]), _N), "refers": (lambda code, _: codecs.lz_facts(code, mark)[2] > 0, _repeat(least))}
+
+
+_roundtrip("codon_roundtrip", lambda d: codecs.codon_encode(d, _MATCHER), lambda c: codecs.codon_decode(c, PATTERNS), n_tokens=_TOKENS_OF, code_bytes=_CODE)
+_roundtrip("two_pass_roundtrip", codecs.tokenize, codecs.detokenize, covered=(lambda code, _: codecs.token_facts(code)[0], _N), declared=(lambda code, _: codecs.token_facts(code)[1], _N), all_used=(lambda code, _: codecs.token_facts(code)[2], "1"))
+_roundtrip("ans_roundtrip", codecs.ans_encode, codecs.ans_decode, symbols=_SYMBOLS, packed=_PACKED)
+_roundtrip("ans_bits_roundtrip", codecs.ans_bits_encode, codecs.ans_bits_decode, symbols=_SYMBOLS, packed=_PACKED)
+_roundtrip("ans_o1_roundtrip", codecs.order1_encode, codecs.order1_decode, contexts=(_SYMBOLS[0], f"len(list_distinct(list_prepend('00', ({_BYTES})[1:{_N} - 1])))"))
+_roundtrip("backref_roundtrip", codecs.lz_encode, codecs.lz_decode, **_references(2, 6))
+_roundtrip("literal_lz_roundtrip", lambda d: codecs.lz_encode(d, mark=1, least=4, most=255), lambda c: codecs.lz_decode(c, mark=1), **_references(1, 4))
+_roundtrip("local_repeat_roundtrip", codecs.local_encode, codecs.local_decode, covered=_references(3, 4)["covered"])
+_roundtrip("deflate_roundtrip", codecs.deflate, codecs.inflate, packed=_PACKED, huffman=(lambda code, _: (code[0] >> 1) & 3 in (1, 2), "1"))
+_roundtrip("stored_deflate_roundtrip", lambda d: codecs.deflate(d, level=0), codecs.inflate, code_bytes=(lambda code, _: len(code), f"{_N} + 5"))
+_roundtrip("frame_roundtrip", lambda d: codecs.frame(d, codecs.RAW), lambda c: codecs.unframe(c)[1], code_bytes=(lambda code, _: len(code), f"{_N} + 14"), magic=(lambda code, _: code[:4] == codecs.MAGIC, "1"))
+_MODES = {"codon": codecs.CODON, "deflate": codecs.DEFLATE | codecs.CODON, "order1": codecs.ORDER1 | codecs.CODON}
+for _mode, _flags in _MODES.items():
+    _roundtrip(f"pipeline_{_mode}_roundtrip", lambda d, m=_mode: codecs.compress(d, m), codecs.decompress, mode=(lambda code, _: codecs.unframe(code)[0], str(_flags)), overhead=(lambda code, _: len(code) - len(codecs.unframe(code)[1]), "14"))
+_SMALLEST = {"bounded": (lambda code, n: len(code) <= n + 14, "1"), "mode_known": (lambda code, _: codecs.unframe(code)[0] in (codecs.RAW, *_MODES.values()), "1"), "packed": (lambda code, n: n < 500 or len(code) < n, "1")}
+_roundtrip("pipeline_auto_roundtrip", codecs.compress, codecs.decompress, **_SMALLEST)
+_roundtrip("dictionary_deflate_roundtrip", lambda d: codecs.smaller(d, b"".join(PATTERNS)), lambda c: codecs.unsmaller(c, b"".join(PATTERNS)), packed=_PACKED, bounded=(lambda code, n: len(code) <= n + 1, "1"))
+for _name, (_there, _back) in codecs.layered(PATTERNS).items():
+    # The tokens are those of the first layer, counted in what the others give back.
+    _roundtrip(f"layered_{_name}_roundtrip", _there, _back, n_tokens=(lambda code, _, n=_name: codecs.layered_tokens(code, n, PATTERNS), _TOKENS), **({} if _name in ("codon", "cached", "overlapping") else {"packed": _PACKED}))
+_roundtrip("package_roundtrip", lambda d: codecs.package_compress(d, _MATCHER, b"".join(PATTERNS)), lambda c: codecs.package_decompress(c, PATTERNS, b"".join(PATTERNS)), n_tokens=(lambda code, _: codecs.package_tokens(code), _TOKENS))
+_roundtrip("fast_roundtrip", lambda d: codecs.fast_compress(d, tuple(PATTERNS)), lambda c: codecs.fast_decompress(c, tuple(PATTERNS)), n_tokens=(lambda code, _: sum(1 for i, _ in codecs.spans(codecs.unsmaller(code)) if i), _TOKENS), bounded=(lambda code, n: len(code) <= n + 1, "1"))
+
+
+@query(f"SELECT conv_id, turn, {_N} AS input_bytes, 14 AS frame_overhead, true AS mode_known, true AS ratio_holds FROM conversations")
+def compression_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes at every step of the pipeline: the frame adds 14 bytes, the kept form is the smallest, the ratio is theirs."""
+    kind = "struct<input_bytes:bigint,tokenized_bytes:bigint,compressed_bytes:bigint,framed_bytes:bigint,mode:string>"
+    s = turns(spark, sf_dir).select("conv_id", "turn", split.byte_udf(lambda d: codecs.stats(d)._asdict(), kind)(F.encode("text", "UTF-8")).alias("s"))
+    ratio = B.ratio(F.col("s.input_bytes"), F.col("s.framed_bytes"))
+    return s.select("conv_id", "turn", "s.input_bytes", (F.col("s.framed_bytes") - F.col("s.compressed_bytes")).cast("int").alias("frame_overhead"), F.col("s.mode").isin("raw", "codon", "deflate", "order1").alias("mode_known"), (F.abs(ratio * F.col("s.framed_bytes") - F.col("s.input_bytes")) < 1e-6).alias("ratio_holds"))
+
+
+@query(f"SELECT conv_id, turn, sha256(text) AS restored_sha256, {_N} AS n_bytes, true AS frame_ok FROM conversations")
 def batch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of eight turns of a conversation, each compressed with the vocabulary of the batch."""
+    """Batches of eight turns of a conversation, each compressed with the vocabulary of the batch, into its smallest frame."""
     return shards.batch_roundtrip(turns(spark, sf_dir), "conv_id", "turn", "text", 8)
 
 
-@query("SELECT conv_id, turn, sha256(text) AS restored_sha256, octet_length(encode(text)) AS n_bytes FROM conversations")
+@query(f"SELECT conv_id, turn, sha256(text) AS restored_sha256, {_N} AS n_bytes, true AS frame_ok FROM conversations")
+def majority_batch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with one mode a batch: the one that is smallest for most of its turns."""
+    return shards.batch_roundtrip(turns(spark, sf_dir), "conv_id", "turn", "text", 8, majority=True)
+
+
+@query(f"SELECT conv_id, turn, sha256(text) AS restored_sha256, {_N} AS n_bytes, {_TOKENS} AS n_tokens FROM conversations")
 def split_batch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.split_batch_roundtrip(turns(spark, sf_dir), "conv_id", "turn", "text", 8, PATTERNS)
 
 
-@query("SELECT conv_id, turn, sha256(text) AS restored_sha256, octet_length(encode(text)) AS n_bytes, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 0 END AS shard_code FROM conversations")
-def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.shard_roundtrip(turns(spark, sf_dir), PATTERNS)
+@query(f"""WITH m AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+  l AS (SELECT conv_id, least(32768, octet_length(encode(string_agg(regexp_replace(text, '{ALT}', '', 'g'), '' ORDER BY turn)))) AS dictionary_bytes FROM m WHERE r <= 400 GROUP BY conv_id)
+SELECT conv_id, turn, sha256(text) AS restored_sha256, {_N} AS n_bytes, {_TOKENS} AS n_tokens, dictionary_bytes FROM conversations JOIN l USING (conv_id)""")
+def v4_batch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of eight turns in split form, each stream deflated once with the dictionary of the conversation's history."""
+    t = turns(spark, sf_dir)
+    history = shards.history_dictionary(t, "conv_id", "turn", "text").select("conv_id", F.encode("dictionary", "ISO-8859-1").alias("dictionary"))
+    return shards.split_batch_roundtrip(t, "conv_id", "turn", "text", 8, PATTERNS, history)
 
 
 @query("SELECT role, CASE role WHEN 'system' THEN 'system' WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' ELSE 'generic' END AS shard, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 0 END AS shard_code, count(*) AS turns FROM conversations GROUP BY ALL")
@@ -126,7 +166,7 @@ def content_identity_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH m AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
   l AS (SELECT conv_id, string_agg(regexp_replace(text, '{ALT}', '', 'g'), '' ORDER BY turn) AS t FROM m WHERE r <= 400 GROUP BY conv_id)
 SELECT conv_id, octet_length(encode(t)) AS literal_bytes, least(32768, octet_length(encode(t))) AS dictionary_bytes FROM l""")
-def gcdict_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of each conversation's preset dictionary: the last 32 KiB of the literals of its first 400 turns."""
     h = shards.history_dictionary(turns(spark, sf_dir), "conv_id", "turn", "text")
     return h.select("conv_id", F.col("literal_bytes").cast("long").alias("literal_bytes"), F.length("dictionary").cast("long").alias("dictionary_bytes"))
@@ -204,22 +244,29 @@ def ans_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("byte", "freq", F.coalesce(F.sum("freq").over(before), F.lit(0)).cast("long").alias("start"))
 
 
-@query(_PLAIN)
+@query(f"SELECT conv_id, turn, sha256(text) AS restored_sha256, {_N} AS n_bytes, true AS packed FROM conversations")
 def ans_pretrained_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One order-1 table from the corpus' bigram counts, broadcast; it is 256 x 256 numbers whatever the corpus."""
     return shards.pretrained_roundtrip(turns(spark, sf_dir), "text")
 
 
-@query("SELECT conv_id, turn, upper(to_hex(octet_length(encode(text)) % 128 + CASE WHEN octet_length(encode(text)) > 127 THEN 128 ELSE 0 END)) AS low_byte, octet_length(encode(text)) AS n FROM conversations")
+_GROUP = lambda i: f"(n // {128**i}) % 128 + CASE WHEN n // {128**(i + 1)} > 0 THEN 128 ELSE 0 END"
+
+
+@query(f"WITH x AS (SELECT doc_id, unnest([CAST(doc_id AS HUGEINT), doc_id * 1000003, doc_id * 9223372036 * 97]) AS n FROM documents) SELECT doc_id, CAST(n AS BIGINT) AS n, {' || '.join(f'CASE WHEN {i} = 0 OR n // {128**i} > 0 THEN lpad(upper(to_hex(CAST({_GROUP(i)} AS BIGINT))), 2, chr(48)) ELSE substr(chr(48), 2) END' for i in range(9))} AS varint FROM x")
 def varint_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.octet_length("text").cast("long")
-    return turns(spark, sf_dir).select("conv_id", "turn", F.regexp_replace(F.substring(B.varint_hex(n), 1, 2), "^0(?=.)", "").alias("low_byte"), n.alias("n"))
+    """Numbers of one to nine groups of seven bits, as all bytes of their varints."""
+    n = F.explode(F.array(F.col("doc_id"), F.col("doc_id") * 1000003, F.col("doc_id") * 9223372036 * 97))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", n.alias("n")).select("doc_id", "n", B.varint_hex(F.col("n")).alias("varint"))
 
 
-@query("""SELECT conv_id, CAST(list_reduce(list_prepend(2166136261::HUGEINT, list(turn::HUGEINT ORDER BY turn)), lambda h, i: (xor(h, i % 256) * 16777619) % 4294967296) AS BIGINT) AS hash FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list(turn::HUGEINT ORDER BY turn)), lambda h, i: (xor(h, i % 256) * 1099511628211) % 18446744073709551616) AS VARCHAR) AS hash FROM
+  (SELECT conv_id, turn FROM conversations UNION ALL SELECT -1 - doc_id, unnest(range(0, n_chars)) FROM documents) GROUP BY conv_id""")
 def fnv_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit FNV-1a: of each conversation's turn numbers, and of 0, 1, 2, ... for each document's characters."""
     ids = turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("ids"))
-    return ids.select("conv_id", B.fnv1a_low32(F.col("ids")).alias("hash"))
+    lengths = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars > 0").select((-1 - F.col("doc_id")).alias("conv_id"), F.sequence(F.lit(0).cast("long"), F.col("n_chars") - 1).alias("ids"))
+    return ids.unionAll(lengths).select("conv_id", B.fnv1a(F.col("ids")).alias("hash"))
 
 
 @query("SELECT conv_id, turn, sha256(replace(text, 'e', 'e' || chr(0))) AS escaped_sha256 FROM conversations")
@@ -229,8 +276,15 @@ def escape_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("conv_id", "turn", F.sha2(F.encode(F.translate(B.escaped(marked), "\x01", "e"), "ISO-8859-1"), 256).alias("escaped_sha256"))
 
 
-@query("SELECT conv_id, turn, sha256(regexp_replace(text, '(?s)e.', '', 'g')) AS residual_sha256 FROM conversations WHERE NOT regexp_matches(text, 'e[^\\x00-\\x7f]')")
+@query("SELECT conv_id, turn, sha256(replace(regexp_replace(regexp_replace(hex(encode(text)), '(..)', '\\1.', 'g'), '65[.]..[.]', '', 'g'), '.', '')) AS residual_sha256 FROM conversations")
 def residual_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left without each mark and the byte after it, in hexadecimal digits; the letter e stands for the mark."""
     marked = F.translate(B.byte_view(F.col("text")), "e", "\x01")
-    plain = turns(spark, sf_dir).where(~F.col("text").rlike(r"e[^\x00-\x7f]"))
-    return plain.select("conv_id", "turn", F.sha2(F.encode(B.residual(marked), "ISO-8859-1"), 256).alias("residual_sha256"))
+    left = F.translate(B.residual(marked), "\x01", "e")
+    return turns(spark, sf_dir).select("conv_id", "turn", F.sha2(F.encode(F.hex(F.encode(left, "ISO-8859-1")), "UTF-8"), 256).alias("residual_sha256"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id <= 63 THEN 0 WHEN vec_id <= 127 THEN 1 WHEN vec_id <= 191 THEN 2 ELSE 3 END AS tier FROM embeddings WHERE vec_id > 0")
+def tier_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tier that each token id, from 1, belongs to by the tiers' slots."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id > 0").select("vec_id", B.tier_of_id(F.col("vec_id")).alias("tier"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom import tables
 from textloom.functions import bytesview as B
 from textloom.operators import shards
 from textloom.sources import corpus
@@ -63,8 +64,8 @@ def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT part, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM (SELECT CASE WHEN row_number() OVER (ORDER BY conv_id, turn) <= 400 THEN 'train' ELSE 'test' END AS part, text, row_number() OVER (ORDER BY conv_id, turn) AS r FROM conversations) WHERE r <= 700 GROUP BY part")
 def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 400 turns train, the next 300 test: the split is by position."""
-    r = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("conv_id", "turn"))
-    t = turns(spark, sf_dir).withColumn("r", r).where("r <= 700").withColumn("part", F.when(F.col("r") <= 400, "train").otherwise("test"))
+    placed, _ = tables.numbered(turns(spark, sf_dir), ["conv_id", "turn"], "r")
+    t = placed.where("r < 700").withColumn("part", F.when(F.col("r") < 400, "train").otherwise("test"))
     return t.groupBy("part").agg(F.count("*").alias("turns"), F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
@@ -73,10 +74,17 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select(F.explode(B.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN octet_length(encode(text)) > 1500 THEN 'too_large' ELSE 'ok' END AS status FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN octet_length(encode(text)) > 10485760 THEN 'too_large' WHEN count(*) OVER (PARTITION BY conv_id) > 1000 THEN 'too_many' ELSE 'ok' END AS status FROM conversations""")
 def input_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.coalesce(F.col("text"), F.lit("")) == "", "empty").when(F.octet_length("text") > 1500, "too_large").otherwise("ok")
-    return turns(spark, sf_dir).select("conv_id", "turn", status.alias("status"))
+    """A request is a conversation: empty messages, those over 10 MiB, and requests of more than 1,000 messages are marked."""
+    return corpus.validated(turns(spark, sf_dir), "conv_id", "text").select("conv_id", "turn", "status")
+
+
+@query("""SELECT doc_id, regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}') AS address, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}') AS valid FROM documents""")
+def email_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first address in each document, if it has one."""
+    address = F.regexp_extract("text", corpus.EMAIL, 0)
+    return docs(spark, sf_dir).select("doc_id", address.alias("address"), (address != "").alias("valid"))
 
 
 @query("SELECT conv_id, turn, sha256(text) AS restored_sha256, length(to_base64(encode(text))) AS coded_chars FROM conversations")

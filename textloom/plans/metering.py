@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import bytesview as B
+
 from .registry import query
 
 PLANS = {"free": 100.0, "starter": 5_000.0, "pro": 25_000.0}
@@ -83,6 +85,20 @@ def rate_limit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("user_id", F.col("w.start").alias("minute"), "calls", (F.col("calls") > 60).alias("refused"))
 
 
+@query("SELECT user_id, time_bucket(INTERVAL 15 MINUTE, ts) AS quarter, count(*) AS calls, greatest(count(*) - 10, 0) AS refused FROM events WHERE event_type = 'signup' GROUP BY ALL")
+def signup_limit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stricter limit of sign-ups: ten in fifteen minutes, and how many calls beyond it are refused."""
+    w = events(spark, sf_dir).where("event_type = 'signup'").groupBy("user_id", F.window("ts", "15 minutes").alias("w")).agg(F.count("*").alias("calls"))
+    return w.select("user_id", F.col("w.start").alias("quarter"), "calls", F.greatest(F.col("calls") - 10, F.lit(0)).alias("refused"))
+
+
+@query("SELECT substr('key_' || sha256('key_' || user_id), 1, 12) AS key_prefix, count(*) AS calls FROM events GROUP BY key_prefix")
+def calls_by_key_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage log by what is kept of a key, its first twelve characters."""
+    key = F.concat(F.lit("key_"), F.sha2(F.concat(F.lit("key_"), F.col("user_id").cast("string")), 256))
+    return events(spark, sf_dir).groupBy(B.key_prefix(key).alias("key_prefix")).agg(F.count("*").alias("calls"))
+
+
 @query("SELECT user_id, CAST(sum(ceil(value * 10)) AS BIGINT) AS units FROM events GROUP BY user_id")
 def meter_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id").agg(F.sum(F.ceil(F.col("value") * 10)).cast("long").alias("units"))

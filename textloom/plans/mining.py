@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.operators import codecs, vocab
+from textloom import tables
+from textloom.operators import codecs, learning, shards, split, vocab
 
-from .coding import turns
+from .coding import PATTERNS, turns
 from .registry import query
 
 #: Patterns are hexadecimal digits; dotted ones are compared for containment, as a dot keeps bytes aligned.
@@ -40,32 +41,23 @@ def ngram_counts_8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.withColumn("pattern", F.hex(F.encode("pattern", "ISO-8859-1")))
 
 
-@query(f"WITH {_GRAMS} SELECT len, count(*) AS patterns, CAST(sum(freq) AS BIGINT) AS occurrences FROM f WHERE len IN (4, 6, 12) GROUP BY len")
+@query(f"WITH {_GRAMS} SELECT len, count(*) AS patterns, CAST(sum(freq) AS BIGINT) AS occurrences FROM f GROUP BY len")
 def frequency_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = None
-    for n in (4, 6, 12):
-        one = vocab.ngram_counts(turns(spark, sf_dir), ["conv_id", "turn"], "text", n).withColumn("len", F.lit(n).cast("long"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy("len").agg(F.count("*").alias("patterns"), F.sum("n").cast("long").alias("occurrences"))
+    """Over all lengths, how many patterns there are and how often they occur."""
+    found = vocab.candidates(turns(spark, sf_dir), ["conv_id", "turn"])
+    return found.groupBy(F.octet_length("pattern").cast("long").alias("len")).agg(F.count("*").alias("patterns"), F.sum("freq").cast("long").alias("occurrences"))
 
 
-@query(f"WITH {_CANDIDATES} SELECT conv_id, turn, p AS pattern, freq, saving FROM cand WHERE len = 5")
+@query(f"WITH {_CANDIDATES} SELECT conv_id, turn, p AS pattern, freq, CAST(saving AS BIGINT) AS saving FROM cand")
 def vocab_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = vocab.ngram_counts(turns(spark, sf_dir), ["conv_id", "turn"], "text", 5)
-    return grams.select("conv_id", "turn", F.hex(F.encode("pattern", "ISO-8859-1")).alias("pattern"), F.col("n").alias("freq"), ((F.length("pattern") - 2) * F.col("n")).cast("long").alias("saving"))
+    return _hex(vocab.candidates(turns(spark, sf_dir), ["conv_id", "turn"])).drop("rank")
 
 
-@query(f"""WITH {_GRAMS}, cand AS (SELECT conv_id, turn, p, freq, (len - 2) * freq AS saving, len, regexp_replace(p, '(..)', '\\1.', 'g') AS dotted FROM f WHERE len IN (4, 6, 12)),
-  r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY {_ORDER}) AS place FROM cand)
-SELECT conv_id, turn, p AS pattern, freq, CAST(saving AS BIGINT) AS saving FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.conv_id = a.conv_id AND b.turn = a.turn AND b.place < a.place AND contains(b.dotted, a.dotted))""")
+@query(f"""WITH {_CANDIDATES} SELECT conv_id, turn, p AS pattern, freq, CAST(saving AS BIGINT) AS saving FROM cand a
+  WHERE NOT EXISTS (SELECT 1 FROM cand b WHERE b.conv_id = a.conv_id AND b.turn = a.turn AND b.place < a.place AND contains(b.dotted, a.dotted))""")
 def vocab_dominated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pruning by an anti-join, on the patterns of three lengths."""
-    parts = None
-    for n in (4, 6, 12):
-        one = vocab.ngram_counts(turns(spark, sf_dir), ["conv_id", "turn"], "text", n)
-        one = one.select("conv_id", "turn", F.encode("pattern", "ISO-8859-1").alias("pattern"), F.col("n").alias("freq"), (F.col("n") * (n - 2)).alias("saving"))
-        parts = one if parts is None else parts.unionByName(one)
-    return _hex(vocab.dominated_pruned(parts, ["conv_id", "turn"])).select("conv_id", "turn", "pattern", "freq", "saving")
+    """The candidates of all lengths that aren't inside a better one, however many."""
+    return _hex(vocab.mined(turns(spark, sf_dir), ["conv_id", "turn"], limit=1 << 30)).drop("rank")
 
 
 @query(f"WITH {_MINED} SELECT conv_id, turn, rank, p AS pattern, freq, saving FROM mined")
@@ -138,8 +130,8 @@ def pressurize_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT conv_id, turn, r, r % 4 = 0 AS learns, CASE WHEN r < 100 THEN r // 50 ELSE 1 + (r - 50) // 100 END AS generation FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS r FROM conversations)""")
 def learn_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which chunks of one stream learn, and the vocabulary's generation after each: rebuilt after 50 chunks, from 100 on after 100."""
-    r = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("conv_id", "turn")).cast("long")
-    n = turns(spark, sf_dir).select("conv_id", "turn", r.alias("r"))
+    placed, _ = tables.numbered(turns(spark, sf_dir).select("conv_id", "turn"), ["conv_id", "turn"], "place")
+    n = placed.select("conv_id", "turn", (F.col("place") + 1).alias("r"))
     return n.withColumn("learns", F.col("r") % 4 == 0).withColumn("generation", F.expr("if(r < 100, r div 50, 1 + (r - 50) div 100)"))
 
 
@@ -170,55 +162,102 @@ def promote_l2_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TIERS = f"""{_L1}, pre(p, freq, saving) AS (VALUES {_PRESEED}), tiers AS (
-  (SELECT 0 AS tier, p, freq, saving, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM pre QUALIFY rank <= 63) UNION ALL
-  (SELECT 1, p, freq, saving, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM l1 WHERE role = 'user' QUALIFY rank <= 64) UNION ALL
-  (SELECT 2, p, freq, saving, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM l2 WHERE role = 'user' QUALIFY rank <= 64))"""
+  (SELECT r.role, 0 AS tier, p, freq, saving, row_number() OVER (PARTITION BY r.role ORDER BY {_ORDER}) AS rank FROM pre CROSS JOIN (SELECT DISTINCT role FROM conversations) r QUALIFY rank <= 63) UNION ALL
+  (SELECT role, 1, p, freq, saving, row_number() OVER (PARTITION BY role ORDER BY {_ORDER}) AS rank FROM l1 QUALIFY rank <= 64) UNION ALL
+  (SELECT role, 2, p, freq, saving, row_number() OVER (PARTITION BY role ORDER BY {_ORDER}) AS rank FROM l2 QUALIFY rank <= 64))"""
 
 
 def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiers of every role: the given patterns, then those promoted."""
     two, one = _tier_one(spark, sf_dir)
-    return vocab.tiers([preseeded(spark), one.where("role = 'user'"), two.where("role = 'user'")])
+    roles = turns(spark, sf_dir).select("role").distinct()
+    given = roles.select("role", F.explode(F.array(*(F.struct(F.lit(bytearray(e.pattern)).alias("pattern"), F.lit(e.freq).cast("long").alias("freq"), F.lit(e.saving).cast("long").alias("saving")) for e in codecs.preseed("text")))).alias("e")).select("role", "e.*")
+    return vocab.tiers([given, one, two], ["role"])
 
 
-@query(f"WITH {_TIERS} SELECT tier, p AS pattern, freq, saving, row_number() OVER (ORDER BY tier, rank) AS token_id FROM tiers")
+@query(f"WITH {_TIERS} SELECT role, tier, p AS pattern, freq, saving, row_number() OVER (PARTITION BY role ORDER BY tier, rank) AS token_id FROM tiers")
 def tier_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hex(_tiers(spark, sf_dir))
 
 
-@query(f"WITH {_TIERS} SELECT tier, count(*) AS entries, CAST(sum(saving) AS BIGINT) AS saving FROM tiers GROUP BY tier")
+@query(f"WITH {_TIERS} SELECT role, tier, count(*) AS entries, CAST(sum(saving) AS BIGINT) AS saving FROM tiers GROUP BY ALL")
 def tier_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tiers(spark, sf_dir).groupBy("tier").agg(F.count("*").alias("entries"), F.sum("saving").cast("long").alias("saving"))
+    return _tiers(spark, sf_dir).groupBy("role", "tier").agg(F.count("*").alias("entries"), F.sum("saving").cast("long").alias("saving"))
 
 
-@query(f"WITH {_MINED}, t AS (SELECT conv_id, p, text FROM mined JOIN (SELECT conv_id AS c, string_agg(regexp_replace(hex(encode(text)), '(..)', '\\1.', 'g'), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id) ON c = conv_id WHERE turn = 0 AND rank <= 5) SELECT conv_id, p AS pattern FROM t WHERE contains(text, regexp_replace(p, '(..)', '\\1.', 'g'))")
+@query(f"""WITH {_MINED}, alt AS (SELECT conv_id, turn, string_agg(regexp_replace(p, '(..)', '\\1[.]', 'g'), '|' ORDER BY len DESC, p) AS a FROM mined GROUP BY conv_id, turn),
+  hits AS (SELECT c.conv_id, c.turn, unnest(list_distinct(regexp_extract_all(regexp_replace(hex(encode(text)), '(..)', '\\1.', 'g'), a))) AS hit FROM conversations c JOIN alt USING (conv_id, turn))
+SELECT m.conv_id, m.turn, m.rank, p AS pattern, freq, saving FROM mined m JOIN hits h ON h.conv_id = m.conv_id AND h.turn = m.turn AND replace(h.hit, '.', '') = p""")
 def prune_to_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the five best patterns of a conversation's first turn, those that occur in it."""
-    best = mined(spark, sf_dir).where("turn = 0 and rank <= 5").select("conv_id", "pattern")
-    whole = turns(spark, sf_dir).groupBy("conv_id").agg(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), ""), "UTF-8").alias("whole"))
-    used = best.join(whole, "conv_id").where(F.expr("contains(whole, pattern)"))
-    return _hex(used.select("conv_id", "pattern"))
-
-
-# The four queries above whose SQL is confined to some lengths or patterns, over all of them. Without SQL, which would
-# take too long: tests/test_vocab.py has brute force.
-
-@query()
-def frequency_map_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vocab.candidates(turns(spark, sf_dir), ["conv_id", "turn"])
-    return found.groupBy(F.octet_length("pattern").cast("long").alias("len")).agg(F.count("*").alias("patterns"), F.sum("freq").cast("long").alias("occurrences"))
-
-
-@query()
-def vocab_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hex(vocab.candidates(turns(spark, sf_dir), ["conv_id", "turn"])).drop("rank")
-
-
-@query()
-def vocab_dominated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hex(vocab.mined(turns(spark, sf_dir), ["conv_id", "turn"], limit=1 << 30)).drop("rank")
-
-
-@query()
-def prune_to_fired_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every turn's vocabulary the entries that its encoding uses."""
     return _hex(vocab.fired(turns(spark, sf_dir), ["conv_id", "turn"]))
+
+
+@query(f"""WITH {_MINED} SELECT c.conv_id, c.turn, CAST(count(m.p) AS BIGINT) AS entries, CAST(coalesce(sum(m.saving), 0) AS BIGINT) AS saving, coalesce(string_agg(p, ',' ORDER BY rank), '') AS patterns
+  FROM conversations c LEFT JOIN mined m ON m.conv_id = c.conv_id AND m.turn = c.turn GROUP BY c.conv_id, c.turn""")
+def window_snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn's vocabulary as a snapshot's bytes, itself compressed, and what is read back from it."""
+
+    def there_and_back(data: bytes) -> dict:
+        back = codecs.load_window(codecs.decompress(codecs.compress(codecs.dump_window(codecs.mine(data)))))
+        return {"entries": len(back), "saving": sum(e.saving for e in back), "patterns": ",".join(e.pattern.hex().upper() for e in back)}
+
+    kind = "struct<entries:bigint,saving:bigint,patterns:string>"
+    return turns(spark, sf_dir).select("conv_id", "turn", split.byte_udf(there_and_back, kind)(F.encode("text", "UTF-8")).alias("s")).select("conv_id", "turn", "s.*")
+
+
+@query(f"""WITH {_L3}, k AS (SELECT conv_id, turn, count(*) AS n FROM l3 GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, sha256(text) AS restored_sha256, octet_length(encode(text)) AS n_bytes, CAST(CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 0 END AS BIGINT) AS shard_code, CAST(7 AS BIGINT) AS version, CAST(coalesce(n, 0) AS BIGINT) AS own_entries
+FROM conversations c LEFT JOIN k ON k.conv_id = c.conv_id AND k.turn = c.turn""")
+def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_roundtrip(turns(spark, sf_dir), PATTERNS)
+
+
+_LEARNED = f"""{_MINED}, w AS (SELECT conv_id, turn, p, row_number() OVER (PARTITION BY conv_id, p ORDER BY turn) AS k FROM mined WHERE saving >= 3),
+  fresh AS (SELECT conv_id, turn, count(*) AS n FROM w WHERE k = 1 GROUP BY conv_id, turn),
+  v AS (SELECT c.conv_id, c.turn, text, row_number() OVER x - 1 AS version, coalesce(sum(n) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS entries
+    FROM conversations c LEFT JOIN fresh f ON f.conv_id = c.conv_id AND f.turn = c.turn WINDOW x AS (PARTITION BY c.conv_id ORDER BY c.turn))"""
+
+
+@query(f"WITH {_LEARNED} SELECT conv_id, turn, CAST(version AS BIGINT) AS version, CAST(entries AS BIGINT) AS entries, sha256(text) AS restored_sha256, octet_length(encode(text)) AS covered FROM v")
+def learn_encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn encoded with what its conversation's window learned from the turns before it, and decoded by a reader that
+    has the codes alone and learns from what it decodes. The frame's version is how many turns were learned."""
+    coded = learning.learn_encode(turns(spark, sf_dir), "conv_id", "turn", "text")
+    back = learning.learn_decode(coded, "conv_id", "turn")
+    return back.select("conv_id", "turn", "version", "entries", F.sha2("data", 256).alias("restored_sha256"), "covered")
+
+
+@query("SELECT conv_id, turn, 1 + (conv_id % 3) AS version, sha256(text) AS restored_sha256, octet_length(encode(text)) AS covered FROM conversations")
+def frozen_encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded against pinned versions of a vocabulary, here one a third of the conversations, and decoded by the version
+    that each frame carries."""
+    t = turns(spark, sf_dir).withColumn("version", 1 + F.col("conv_id") % 3)
+    learned = vocab.mined(t, ["conv_id", "turn", "version"])
+    pinned = vocab.top(learned.where("saving >= 3").groupBy("version", "pattern").agg(F.sum("freq").alias("freq"), F.sum("saving").alias("saving")), ["version"], learning.PINNED)
+    coded = learning.frozen_encode(t, pinned, "text")
+    back = learning.decode_by_version(coded.select("conv_id", "turn", "code"), pinned)
+    return back.select("conv_id", "turn", "version", F.sha2("data", 256).alias("restored_sha256"), "covered")
+
+
+@query("SELECT conv_id, turn, sha256(text) AS restored_sha256, octet_length(encode(text)) AS covered FROM conversations")
+def window_v1_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small window: learns each turn, evicts, encodes in two passes with the vocabulary in the header; decoding needs
+    no window."""
+    coded = learning.window_encode(turns(spark, sf_dir), "conv_id", "turn", "text")
+    kind = "struct<data:binary,covered:bigint>"
+    back = coded.select("conv_id", "turn", split.byte_udf(lambda c: {"data": codecs.detokenize(c), "covered": codecs.token_facts(c)[0]}, kind)("code").alias("b"))
+    return back.select("conv_id", "turn", F.sha2("b.data", 256).alias("restored_sha256"), "b.covered")
+
+
+@query(f"""WITH {_MINED}, b AS (SELECT conv_id, turn, text, list(turn) OVER x AS again FROM conversations WINDOW x AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+  times AS (SELECT conv_id, turn, unnest(again) AS learned FROM b WHERE length(text) >= 200 UNION ALL SELECT conv_id, turn, turn FROM b)
+SELECT m.conv_id, p AS pattern, CAST(sum(freq) AS BIGINT) AS freq, CAST(sum(saving) AS BIGINT) AS saving FROM mined m JOIN times t ON t.conv_id = m.conv_id AND t.learned = m.turn WHERE saving >= 3 GROUP BY m.conv_id, p""")
+def pressurized_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window when, before each turn of 200 characters or more, the three turns before it are learned once more."""
+    t = turns(spark, sf_dir)
+    again = F.collect_list("turn").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1))
+    pressed = t.select("conv_id", "text", again.alias("again")).where(F.length("text") >= 200).select("conv_id", F.explode("again").alias("turn")).groupBy("conv_id", "turn").agg(F.count("*").alias("times"))
+    entries = mined(spark, sf_dir).join(pressed, ["conv_id", "turn"], "left").withColumn("times", 1 + F.coalesce("times", F.lit(0)))
+    weighted = entries.where("saving >= 3").select("conv_id", "turn", "pattern", (F.col("freq") * F.col("times")).alias("freq"), (F.col("saving") * F.col("times")).alias("saving"))
+    return _hex(vocab.window(weighted, ["conv_id"], "turn", 1 << 30)).select("conv_id", "pattern", "freq", "saving")

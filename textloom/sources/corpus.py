@@ -6,9 +6,10 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom import tables
 from textloom.operators import codecs
 
 
@@ -50,6 +51,17 @@ def export_json(spark: SparkSession, path: str, least: int = 20) -> DataFrame:
     return m.select(F.coalesce("m.role", "m.sender").alias("role"), F.trim(text).alias("text")).where(F.length("text") > least)
 
 
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
+
+
+def validated(messages: DataFrame, request: str, text_col: str, most_bytes: int = 10 << 20, most_messages: int = 1_000) -> DataFrame:
+    """messages with status: empty, too_large, too_many (of one request) or ok."""
+    sizes = messages.groupBy(request).agg(F.count("*").alias("__n")).where(F.col("__n") > most_messages).withColumnRenamed(request, "__request")
+    marked = messages.join(sizes, F.col(request).eqNullSafe(F.col("__request")), "left")
+    status = F.when(F.coalesce(F.col(text_col), F.lit("")) == "", "empty").when(F.octet_length(text_col) > most_bytes, "too_large")
+    return marked.select(*messages.columns, status.when(F.col("__n").isNotNull(), "too_many").otherwise("ok").alias("status"))
+
+
 def chunks(df: DataFrame, keys: list[str], data: Column, size: int = 65_536) -> DataFrame:
     """keys, chunk, data: consecutive pieces of size bytes (or characters of a string); nothing for empty data."""
     n = F.ceil(F.length(data) / size).cast("int")
@@ -64,9 +76,8 @@ def file_chunks(spark: SparkSession, path: str, size: int = 65_536) -> DataFrame
 
 def every(df: DataFrame, order: list[str], wanted: int) -> DataFrame:
     """Rows at even steps in the order, about wanted of them."""
-    place = Window.partitionBy(F.lit(0)).orderBy(*order)
-    numbered = df.withColumn("__place", F.row_number().over(place) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(0))))
-    return numbered.where(F.expr(f"__place % greatest(1, __n div {wanted}) = 0")).drop("__place", "__n")
+    placed, n = tables.numbered(df, order, "__place")
+    return placed.where(F.col("__place") % max(1, n // wanted) == 0).drop("__place")
 
 
 def sample(df: DataFrame, id_cols: list[str], seed: int, n: int) -> DataFrame:
