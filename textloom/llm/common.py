@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.tables import scratch, shared_dir, written
+
+__all__ = ["scratch", "shared_dir", "written"]
+
 #: A table of one or two numbers a row is broadcast only while it has at most this many rows, some 32 MB of numbers.
 BROADCAST_ROWS = 2_000_000
 U64 = np.uint64
@@ -36,31 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset, as in tests, a local session,
-    whose executors are threads of this machine, gets a temporary folder; any other raises."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    context = spark.sparkContext
-    if not re.fullmatch(r"local(\[.*\])?", context.master):
-        raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that all executors share, when the session is made")
-    if context.applicationId not in _own:
-        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="textloom-")
-    return _own[context.applicationId]
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder, which outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint while its counted rows are at most limit; beyond it Spark shuffles both sides."""
     return F.broadcast(df) if rows <= limit else df

@@ -6,13 +6,11 @@ Version 1 spreads the slots evenly; each rebalancing adds a version that moves a
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import scratch, written
 
 SLOTS = 4096
 MAP = "slot int, shard int, version int"
@@ -104,7 +102,7 @@ def assign(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     map, of a fixed number of rows.
     """
     spark = records.sparkSession
-    path = path or f"{shared_dir(spark)}/textloom/slot_map-{uuid.uuid4().hex}"
+    path = path or scratch(spark, "slot_map")
     sizes = written(slot_bytes(records, id_col, text_col, slots), "slot_bytes")
     if not versions(spark, path):
         store(first_map(spark, shards, slots), path)
