@@ -866,6 +866,18 @@ def shard_facts(data: bytes) -> tuple[int, int, int]:
     return body[0], version, read_varint(body, at)[0]
 
 
+_TEXT = [p for p in PRESEED["text"] if len(p) >= MIN_PATTERN]
+
+
+def split_size(data: bytes) -> bytes:
+    """One message in split form, each stream deflated where that is smaller, with the fixed vocabulary of text."""
+    return split_batch([data], cached_matcher(tuple(_TEXT)))
+
+
+#: The codecs whose output sizes are reported.
+SIZED = {"gzip": lambda d: zlib.compress(d, 6, 31), "deflate": lambda d: frame(smaller(d), DEFLATE), "split": split_size, "fast": lambda d: frame(fast_compress(d, tuple(_TEXT)), CODON), "package": lambda d: package_compress(d, cached_matcher(tuple(_TEXT)), b"".join(_TEXT)), "ans": ans_encode}
+
+
 # shards ---------------------------------------------------------------------------------------------------------------------
 
 SHARDS = {"generic": 0, "system": 1, "user": 2, "assistant": 3, "code": 4, "tool_call": 5, "tool_result": 6}

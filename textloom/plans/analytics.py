@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom import tables
 from textloom.functions import bytesview as B
-from textloom.operators import similarity, split
+from textloom.operators import codecs, similarity, split
 from textloom.operators.ranks import percentiles_at
 
 from .coding import ALT, turns
@@ -117,3 +117,19 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.sum("value").alias("v"), F.count("*").alias("n"))
     mb = F.col("v") / 1048576
     return e.select("user_id", F.round(mb, 9).alias("mb"), F.round(mb / (F.col("n") * 0.001), 6).alias("mb_s"), F.lit(1000.0).alias("us_per_chunk"))
+
+
+@query()
+def codec_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in and out of every codec by corpus, frames, positions and vocabularies counted: an output that can be decoded.
+    Without SQL, which has no codec; tests/test_codecs.py does the same in plain Python."""
+    names = list(codecs.SIZED)
+
+    def sizes_of(data: bytes) -> dict:
+        return {n: len(f(data)) for n, f in codecs.SIZED.items()}
+
+    kind = "struct<" + ",".join(f"{n}:bigint" for n in names) + ">"
+    s = docs(spark, sf_dir).where("octet_length(text) > 0").select("source", F.octet_length("text").cast("long").alias("n_in"), split.byte_udf(sizes_of, kind)(F.encode("text", "UTF-8")).alias("s"))
+    t = s.groupBy("source").agg(F.sum("n_in").alias("bytes_in"), *(F.sum(f"s.{n}").alias(n) for n in names))
+    long = t.select("source", "bytes_in", F.explode(F.array(*(F.struct(F.lit(n).alias("codec"), F.col(n).alias("bytes_out")) for n in names))).alias("c"))
+    return long.select("source", "c.codec", "bytes_in", "c.bytes_out", F.round(B.ratio(F.col("bytes_in"), F.col("c.bytes_out")), 6).alias("ratio"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import bytesview as B
 from textloom.operators import codecs, shards, split
+from textloom.tables import spread
 
 from .registry import query
 
@@ -20,7 +21,7 @@ _MATCHER = codecs.Matcher(PATTERNS)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 @query(f"""SELECT role, count(*) AS turns, CAST(sum(len(regexp_extract_all(text, '{ALT}', 0))) AS BIGINT) AS n_tokens,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ _STOPS = ", ".join(f"'{w}'" for w in B.STOP_WORDS)
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return tables.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 @query("""WITH RECURSIVE t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations WHERE trim(text) <> ''),
@@ -101,3 +102,97 @@ def field_encryption(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("coded", F.aes_encrypt("c_name", key, F.lit("CBC"), F.lit("PKCS")))
     back = F.aes_decrypt("coded", key, F.lit("CBC"), F.lit("PKCS"))
     return c.select("c_custkey", F.sha2(back, 256).alias("restored_sha256"), (F.octet_length("coded") > F.octet_length("c_name")).alias("hidden"))
+
+
+# Every loader reads what is first written in its format, so that its rows can be held against the table they came from.
+
+_LONG = "length(text) > 200 AND length(text) < 3000"
+
+
+def _turns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation a row, with its turns in order."""
+    rows = turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return rows.select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("texts"))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    return df.groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")).agg(F.count("*").alias("n"))
+
+
+def _array_file(rows: DataFrame, path: str) -> str:
+    """rows as one JSON array, the form of chat exports; they are joined by the one task that writes the file."""
+    rows.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).mapInArrow(_as_array, "value string").write.text(path)
+    return path
+
+
+def _as_array(batches):
+    first = True
+    for batch in batches:
+        values = batch.column(0).to_pylist()
+        if values:
+            yield pa.RecordBatch.from_arrays([pa.array([("[" if first and not i else ",") + x for i, x in enumerate(values)])], ["value"])
+            first = False
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], ["value"])
+
+
+@query(f"SELECT sha256(text) AS text_sha256, count(*) AS n FROM conversations WHERE {_LONG} GROUP BY text")
+def load_share_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = _turns_of(spark, sf_dir).select(F.transform("texts", lambda x: F.struct(x.alias("value"))).alias("conversations"))
+    return _counted(corpus.share_json(spark, _array_file(shared, tables.scratch(spark, "share_json"))))
+
+
+@query(f"SELECT sha256(text) AS text_sha256, count(*) AS n FROM conversations WHERE {_LONG} GROUP BY text")
+def load_chat_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tables.scratch(spark, "chat_parquet")
+    chats = _turns_of(spark, sf_dir).select(F.transform("texts", lambda x: F.struct(x.alias("content"))).alias("conversation"))
+    chats.unionAll(spark.createDataFrame([(None,), ([],)], "conversation array<struct<content:string>>")).write.parquet(path)
+    return _counted(corpus.chat_parquet(spark, path))
+
+
+@query("SELECT sha256(trim(text)) AS text_sha256, count(*) AS n FROM conversations WHERE length(trim(text)) > 100 AND length(trim(text)) < 4000 GROUP BY trim(text)")
+def load_dialogue_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comma-separated, with the looser bounds."""
+    path = tables.scratch(spark, "dialogue_csv")
+    turns(spark, sf_dir).select("conv_id", F.concat(F.lit("  "), "text").alias("text")).write.csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False)
+    return _counted(corpus.dialogue_csv(spark, path, 100, 4_000))
+
+
+@query("SELECT sha256(text) AS text_sha256, count(*) AS n FROM conversations GROUP BY text")
+def load_turn_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON object or string a line, by turns."""
+    path = tables.scratch(spark, "turn_jsonl")
+    line = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("text").alias("content")))).otherwise(F.regexp_extract(F.to_json(F.array("text")), r"(?s)^\[(.*)\]$", 1))
+    turns(spark, sf_dir).select(line.alias("value")).write.text(path)
+    return _counted(corpus.turn_jsonl(spark, path))
+
+
+@query("SELECT role, sha256(trim(text)) AS text_sha256, count(*) AS n FROM conversations WHERE length(trim(text)) > 20 GROUP BY role, trim(text)")
+def load_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports with role or sender, and the text as string, as parts, or apart."""
+    t = _turns_of(spark, sf_dir)
+    messages = F.transform(F.arrays_zip("roles", "texts"), lambda x: F.struct(F.lit("").alias("text"), x["texts"].alias("content"), x["roles"].alias("role")))
+    parts = F.transform(F.arrays_zip("roles", "texts"), lambda x: F.struct(F.array(F.struct(x["texts"].alias("text"))).alias("content"), x["roles"].alias("sender")))
+    flat = F.transform(F.arrays_zip("roles", "texts"), lambda x: F.struct(x["texts"].alias("text"), x["roles"].alias("sender")))
+    found = None
+    for i, (name, of) in enumerate((("messages", messages), ("chat_messages", parts), ("chat_messages", flat))):
+        path = _array_file(t.where(F.col("conv_id") % 3 == i).select(of.alias(name)), tables.scratch(spark, "export_json"))
+        one = corpus.export_json(spark, path)
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("role", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT sha256(text) AS text_sha256, count(*) AS n FROM documents GROUP BY text")
+def load_batch_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length-prefixed batches, one file a task, read back item by item."""
+    path = tables.scratch(spark, "batches")
+    corpus.save_batches(docs(spark, sf_dir), "text", path)
+    return corpus.read_batches(spark, path).groupBy(F.sha2("data", 256).alias("text_sha256")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 4) AS total, len(embedding) AS n FROM embeddings")
+def load_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word vectors in their binary form, one file a task."""
+    path = tables.scratch(spark, "vectors")
+    corpus.save_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec")), path)
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return corpus.read_vectors(spark, path).select(F.col("word").cast("long").alias("vec_id"), F.round(total, 4).alias("total"), F.size("vec").cast("long").alias("n"))

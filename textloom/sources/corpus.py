@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -142,17 +143,49 @@ def dictionary_entries(data: bytes) -> list[codecs.Entry]:
     return codecs.load_window(data[4:])
 
 
+def _plain(data: bytes) -> bytes:
+    """data, decoded if it is a file of save_batches or save_vectors."""
+    return base64.b64decode(data[7:]) if data.startswith(b"base64:") else data
+
+
 def _binary(spark: SparkSession, path: str, rows, schema: str, kinds: list[pa.DataType]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                columns = list(zip(*rows(bytes(data)))) or [()] * len(kinds)
+                columns = list(zip(*rows(_plain(bytes(data))))) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     names = [x.split()[0] for x in schema.split(", ")]
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
+def _save(rows: DataFrame, path: str, made: Callable[[Iterator[pa.RecordBatch]], bytes]) -> None:
+    """A file of made(a task's batches) for each task that has rows, under path in the session's file system."""
+    rows.mapInArrow(lambda batches: iter([pa.RecordBatch.from_arrays([pa.array([made(batches)], pa.binary())], ["data"])]), "data binary").where("octet_length(data) > 0").select(F.concat(F.lit("base64:"), F.translate(F.base64("data"), "\r\n", "")).alias("value")).write.text(path)
+
+
+def save_batches(rows: DataFrame, col: str, path: str) -> None:
+    """(u32 length, bytes)* of each task's rows, as base64 text files: Spark has no writer of plain bytes."""
+    _save(rows.select(F.encode(col, "UTF-8")), path, lambda batches: b"".join(batch_file([bytes(x or b"") for x in b.column(0).to_pylist()]) for b in batches))
+
+
+def vector_file(words: list[tuple[str, list[float]]]) -> bytes:
+    """The file that vector_rows reads; a word may have 255 bytes."""
+    if not words:
+        return b""
+    dim = len(words[0][1])
+    parts = [bytes(8) + struct.pack("<II", len(words), dim)]
+    for word, vec in words:
+        w = word.encode()
+        parts.append(bytes([len(w)]) + w + struct.pack(f"<{dim}f", *vec))
+    return b"".join(parts)
+
+
+def save_vectors(rows: DataFrame, path: str) -> None:
+    """A vector file of each task's rows (word, vec), as base64 text files."""
+    _save(rows.select("word", "vec"), path, lambda batches: vector_file([x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]))
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path, lambda d: [(x,) for x in batch_items(d)], "data binary", [pa.binary()])
 

@@ -26,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as tasks run at once: a small file, of one row group, would be one task's. A table of
+    more partitions than that, as any large one is, stays as it is and isn't shuffled."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing has yet."""
     return f"{shared_dir(spark)}/textloom/{what}-{uuid.uuid4().hex}"
@@ -38,6 +45,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> tuple[DataFrame, int]:
     """(df with each row's place in the order, from 0; number of rows). The rows are parted by ranges of the order, so no
     task sorts them all, and only the sizes of the parts come to the driver."""
