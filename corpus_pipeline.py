@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import langid, minhash, packing, quality
-from textloom.llm.common import table, written
+from textloom.llm.common import table
+from textloom.tables import forget, scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +36,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order; all but the last write what they keep to the shared folder, where the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages in order; all but the last write what they keep to the shared folder, where the next one reads it. What a
+    stage has read is deleted once its own table is written."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, f"stage{i}")
+            before, path = path, scratch(spark, f"stage{i}")
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
+            if before:
+                forget(spark, before)
     return docs
