@@ -236,7 +236,7 @@ def test_long_texts_have_the_mixture_of_short_ones(spark, docs, monkeypatch):
     whole = np.bincount(langid.trigrams(data, np.array([0, len(data)]))[0], minlength=1 << langid.BITS)
     monkeypatch.setattr(langid, "LONG", 1000)
     assert (langid.long_counts(data) == whole).all()
-    languages, p = langid.fit(df, "doc_id", "text", "lang", 2000, 0.5, 5)
+    languages, p = langid.fit(df, "doc_id", "text", "lang", 2000, 0.005, 0.5, 5)
     bins = np.flatnonzero(whole)
     pi = langid.mixtures(p, bins, np.array([0, len(bins)]), 6.0, 30, whole[bins])[0]
     assert [languages[i] for i in np.argsort(-pi)[:2]] == short.languages[:2] and abs(pi.max() - short.proportions[0]) < 1e-3
@@ -247,6 +247,7 @@ def test_language_odd(odd, none):
     assert len(rows) == len(ODD) and all(not r.accepted and r.language == "und" for r in rows if r.doc_id in (1, 2, 8))
     kept = langid.accepted(odd)
     assert kept.columns == odd.columns and 5 in {r.doc_id for r in kept.collect()}
+    assert {r.language for r in langid.language_mixtures(odd, allowed=["de"]).where("accepted").collect()} <= {"de"}
     assert langid.language_mixtures(none).count() == 0 and langid.language_mixtures(odd.withColumn("lang", F.lit(None).cast("string"))).where("accepted").count() == len(ODD)
 
 

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.tables import scratch, shared_dir, written
+from textloom.tables import scratch, shared_dir, spread, written
 
-__all__ = ["scratch", "shared_dir", "written"]
+__all__ = ["scratch", "shared_dir", "spread", "written"]
 
 #: A table of one or two numbers a row is broadcast only while it has at most this many rows, some 32 MB of numbers.
 BROADCAST_ROWS = 2_000_000
@@ -34,7 +34,7 @@ def bounded(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -66,20 +66,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "bin", "n"])
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int, smoothing: float, seed: int) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int, least_share: float, smoothing: float, seed: int) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities by language and bin); the background is the last row."""
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null")
+    named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null")
+    sizes = named.groupBy("lang").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    common = [r["lang"] for r in sizes.where(F.col("n") >= least_share * total).select("lang").collect()]  # at most 1 / least_share
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    chosen = named.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language).select(F.col("id").alias("chosen"), F.col("lang").alias("chosen_lang"))
+    chosen = named.where(F.col("lang").isin(common)).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language).select(F.col("id").alias("chosen"), F.col("lang").alias("chosen_lang"))
     chosen = written(chosen, "chosen")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     texts = texts.join(F.broadcast(chosen), (F.col("id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang"))).select("text", "lang")
-    counts = texts.mapInArrow(_count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counts["lang"].unique())
-    p = np.zeros((len(languages) + 1, 1 << BITS))
-    p[[languages.index(x) for x in counts["lang"]], counts["bin"].to_numpy(np.int64)] = counts["n"].to_numpy(float)
-    p += smoothing
-    p[-1] = 1
+
+    def packed(table: pa.Table) -> pa.Table:
+        whole = np.zeros(1 << BITS, np.int64)
+        whole[table.column("bin").to_numpy()] = table.column("n").to_numpy()
+        return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([whole.tobytes()], pa.binary())})
+
+    counts = texts.mapInArrow(_count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    rows = sorted(counts.groupBy("lang").applyInArrow(packed, "lang string, counts binary").collect())
+    languages = [r["lang"] for r in rows]
+    p = np.ones((len(languages) + 1, 1 << BITS))
+    for i, r in enumerate(rows):
+        p[i] = np.frombuffer(r["counts"], np.int64) + smoothing
     return languages, (p / p.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -178,7 +187,7 @@ def mixtures(p: np.ndarray, bins: np.ndarray, first: np.ndarray, penalty: float,
     return out
 
 
-def _identify(model, languages: list[str], text_at: int, keep: list[int], penalty: float, rounds: int, least: float):
+def _identify(model, languages: list[str], allowed: list[str] | None, text_at: int, keep: list[int], penalty: float, rounds: int, least: float):
     names = [*languages, UNKNOWN]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,32 +205,35 @@ def _identify(model, languages: list[str], text_at: int, keep: list[int], penalt
                     found = [int(i) for i in np.argsort(-x, kind="stable") if x[i] > 0]
                     known = [i for i in found if i < len(languages)]
                     top = known[0] if known and (not languages or x[known[0]] >= least) else len(languages)
-                    results.append((names[top], [names[i] for i in found], [round(float(x[i]), 6) for i in found], top < len(languages) or not languages))
+                    results.append((names[top], [names[i] for i in found], [round(float(x[i]), 6) for i in found], not languages or top < len(languages) and (allowed is None or names[top] in allowed)))
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*results), (pa.string(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in keep), *columns], [*(f"c{i}" for i in range(len(keep))), "language", "languages", "proportions", "accepted"])
 
     return run
 
 
-def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, rows_per_language: int = 2_000, smoothing: float = 0.5, penalty: float = 6.0, rounds: int = 30, least: float = 0.25, seed: int = 5) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, allowed: list[str] | None = None, rows_per_language: int = 2_000, least_share: float = 0.005, smoothing: float = 0.5, penalty: float = 6.0, rounds: int = 30, least: float = 0.25, seed: int = 5) -> DataFrame:
     """The columns keep as c0, c1, ... with language, languages, proportions (strongest first) and accepted.
 
-    The models are fitted on at most rows_per_language documents of each value of lang_col, a hash sample by id: the
-    documented bound of the fit. A document is accepted if its strongest language has a share of at least least.
+    The models are fitted on at most rows_per_language documents of each value of lang_col that at least least_share of the
+    labelled documents have, so of 200 languages at most, a hash sample by id: the documented bound of the fit. A document
+    is accepted if its strongest language has a share of at least least, and is one of allowed, by default any.
+    Expectation-maximisation ends after rounds rounds, or when no proportion changes by 0.001. A very long text is judged
+    as a whole, by how often each bin occurs.
     A null or empty text, or one of under three bytes, has no languages, is "und" and isn't accepted. If no row has both
     a text and a language, all are "und" and accepted, as nothing speaks against them. Ties between languages go to the
     first in alphabetical order. Rows that repeat are judged alike; null ids are judged but not fitted on. The table may
     be empty and have any further columns.
     """
     bounded(docs.sparkSession)
-    languages, p = fit(docs, id_col, text_col, lang_col, rows_per_language, smoothing, seed)
+    languages, p = fit(docs, id_col, text_col, lang_col, rows_per_language, least_share, smoothing, seed)
     at = {c: i for i, c in enumerate(dict.fromkeys([*keep, text_col]))}
     slim = docs.select(*(docs[c] for c in at))
     if slim.schema[text_col].dataType != T.StringType():
         slim = slim.withColumn(text_col, F.col(text_col).cast("string"))
     model = docs.sparkSession.sparkContext.broadcast(p.tobytes())
     schema = T.StructType([*(T.StructField(f"c{i}", slim.schema[at[c]].dataType) for i, c in enumerate(keep)), *RESULT.fields])
-    return slim.mapInArrow(_identify(model, languages, at[text_col], [at[c] for c in keep], penalty, rounds, least), schema)
+    return slim.mapInArrow(_identify(model, languages, allowed, at[text_col], [at[c] for c in keep], penalty, rounds, least), schema)
 
 
 def language_mixtures(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
