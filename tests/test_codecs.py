@@ -88,3 +88,45 @@ def test_identity_tells_contents_apart():
     one = c.identity(b"say the and it", "user", "s", VOCAB)
     assert one == c.identity(b"say the and it", "user", "s", VOCAB) and one != c.identity(b"say and the it", "user", "s", VOCAB)
     assert one != c.identity(b"say the and it", "system", "s", VOCAB) and one != c.identity(b"say the and it", "user", "t", VOCAB)
+
+
+@pytest.mark.parametrize("name", c.layered(VOCAB))
+@settings(max_examples=40, deadline=None)
+@given(data=DATA)
+def test_layers(name, data):
+    encode, decode = c.layered(VOCAB)[name]
+    code = encode(data)
+    assert decode(code) == data and c.layered_tokens(code, name, VOCAB) == len(c.Matcher(VOCAB).pieces(data)[0])
+
+
+@settings(max_examples=40, deadline=None)
+@given(data=DATA)
+def test_facts_hold_without_decoding(data):
+    matcher = c.Matcher(VOCAB)
+    assert c.overlapping_encode(data, VOCAB) == c.codon_encode(data, matcher) and c.covered(c.codon_encode(data, matcher), VOCAB) == len(data)
+    assert c.token_facts(c.tokenize(data)) == (len(data), len(data), True)
+    assert sum(c.lz_facts(c.lz_encode(data))[:2]) == len(data)
+    package = c.package_compress(data, matcher, b"the quick")
+    assert c.package_decompress(package, VOCAB, b"the quick") == data and c.package_tokens(package) == len(matcher.pieces(data)[0])
+    assert c.fast_decompress(c.fast_compress(data, tuple(VOCAB)), tuple(VOCAB)) == data
+    s = c.stats(data)
+    assert s.input_bytes == len(data) and s.framed_bytes == s.compressed_bytes + 14 == len(c.compress(data)) and s.tokenized_bytes == len(c.tokenize(data))
+    for form in ("v1", "v2", "v3", "v4", "interleaved"):
+        streams = c.split_encode(data, matcher, form)
+        ids, literals = matcher.pieces(data)
+        assert c.split_tokens(streams, form) == len(ids) and c.split_literals(streams, form) == b"".join(literals) and c.unpack_plain(c.pack_plain(streams)) == streams
+
+
+def test_batches_of_one_mode():
+    messages = [b"the quick brown fox " * n for n in (1, 3, 9)] + [b"", b"\x00\x01"]
+    frames = c.compress_batch(messages, majority=True)
+    assert len({c.unframe(f)[0] for f in frames}) == 1 and [c.decompress(f) for f in frames] == messages and c.compress_batch([], majority=True) == []
+    code = c.split_batch(messages, c.Matcher(VOCAB))
+    assert c.batch_tokens(code) == [len(c.Matcher(VOCAB).pieces(m)[0]) for m in messages]
+    assert c.shard_facts(c.shard_compress(b"the quick brown", "user", VOCAB, 3))[:2] == (2, 3)
+
+
+def test_package_errors():
+    for data in (b"", b"\x09\x00\x00\x00abc"):
+        with pytest.raises(c.CodecError):
+            c.package_decompress(data, VOCAB, b"")
