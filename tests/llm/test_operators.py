@@ -228,6 +228,45 @@ def test_em_finds_the_greatest_likelihood():
     assert abs(got[0] - max(grid)[1]) < 0.08
 
 
+def mixture_by_force(p, bins, penalty=6.0):
+    """Proportions of the nested set of languages with the greatest penalised likelihood, by plain expectation-maximisation."""
+    like, n = p[:, bins].astype(float), len(bins)
+
+    def em(pi):
+        for _ in range(300):
+            pi = (pi[:, None] * like / (pi @ like)).sum(1) / n
+        return pi, np.log(pi @ like).sum()
+
+    single = np.log(like).sum(1)
+    best, top = np.eye(len(p))[single.argmax()], single.max()
+    order = np.argsort(-em(np.full(len(p), 1 / len(p)))[0], kind="stable")
+    for m in range(2, len(p) + 1):
+        start = np.zeros(len(p))
+        start[order[:m]] = 1 / m
+        pi, ll = em(start)
+        if ll - penalty * np.log(n + 1) * (m - 1) > top:
+            best, top = pi, ll - penalty * np.log(n + 1) * (m - 1)
+    return best
+
+
+def test_language_mixtures_equal_brute_force(spark, docs):
+    rows = docs.where("n_chars between 3 and 4000").limit(80).collect()
+    mixed = [(10_000 + i, rows[i].text[:600] + " " + rows[-1 - i].text[: 100 * i], None, "a", 0) for i in range(10)]
+    df = docs.limit(80).unionByName(spark.createDataFrame([*((r.doc_id + 20_000, r.text, None, "a", 0) for r in rows), *mixed], DOCS))
+    languages, p = langid.fit(df, "doc_id", "text", "lang", 2000, 0.005, 0.5, 5)
+    names, agree = [*languages, langid.UNKNOWN], 0
+    found = langid.language_mixtures(df).where("doc_id >= 10000").collect()
+    texts = {r.doc_id: r.text for r in df.where("doc_id >= 10000").collect()}
+    for r in found:
+        data = np.frombuffer(texts[r.doc_id].encode(), np.uint8)
+        want = mixture_by_force(p, langid.trigrams(data, np.array([0, len(data)]))[0])
+        got = np.zeros(len(names))
+        for name, x in zip(r.languages, r.proportions):
+            got[names.index(name)] = x
+        agree += np.abs(got - want).max() < 0.05
+    assert len(found) == 90 and agree >= 88
+
+
 def test_long_texts_have_the_mixture_of_short_ones(spark, docs, monkeypatch):
     text = {l: " ".join(r.text for r in docs.where(f"lang = '{l}'").limit(20).collect())[:9000] for l in ("en", "de")}
     df = docs.unionByName(spark.createDataFrame([(9001, text["en"] + " " + text["de"][:4000], None, "a", 0)], DOCS))
@@ -327,6 +366,16 @@ def test_local_search_equals_brute_force():
     assert over <= 4  # of 120 searches, half from the worst start
 
 
+def test_packing_a_table_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 9):
+        texts = ["x" * int(k) for k in rng.integers(0, 25, n)]
+        lengths = Counter({i: len(t) + 1 for i, t in enumerate(texts)})
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got, _ = check_bins(packing.pack(df, capacity=30).collect(), lengths, 30)
+        assert got <= fewest_bins(list(lengths.values()), 30) + (n > 8)
+
+
 def test_packing_of_tiny_pieces(spark):
     size = np.r_[np.ones(7000, np.int64), np.full(3, 9000)]
     out = packing.local_search([list(range(7000)), [7000], [7001], [7002]], size, 16_000)

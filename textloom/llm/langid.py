@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,33 +187,35 @@ def mixtures(p: np.ndarray, bins: np.ndarray, first: np.ndarray, penalty: float,
     return out
 
 
-def _identify(model, languages: list[str], allowed: list[str] | None, text_at: int, keep: list[int], penalty: float, rounds: int, least: float):
+def _identified(model, languages: list[str], allowed: list[str] | None, penalty: float, rounds: int, least: float):
+    """The RESULT of each text of a column."""
     names = [*languages, UNKNOWN]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(column: pa.Array) -> pa.Array:
         p = np.frombuffer(model.value, np.float32).reshape(len(names), 1 << BITS)
-        for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(text_at), 1 << 18):
-                if len(data) > LONG:  # one long text: its bins, weighed
-                    counts = long_counts(data)
-                    bins = np.flatnonzero(counts)
-                    pi = mixtures(p, bins, np.array([0, len(bins)]), penalty, rounds, counts[bins])
-                else:
-                    pi = mixtures(p, *trigrams(data, offsets), penalty, rounds)
-                results = []
-                for x in pi:
-                    found = [int(i) for i in np.argsort(-x, kind="stable") if x[i] > 0]
-                    known = [i for i in found if i < len(languages)]
-                    top = known[0] if known and (not languages or x[known[0]] >= least) else len(languages)
-                    results.append((names[top], [names[i] for i in found], [round(float(x[i]), 6) for i in found], not languages or top < len(languages) and (allowed is None or names[top] in allowed)))
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*results), (pa.string(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in keep), *columns], [*(f"c{i}" for i in range(len(keep))), "language", "languages", "proportions", "accepted"])
-
-    return run
-
-
-def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, allowed: list[str] | None = None, rows_per_language: int = 2_000, least_share: float = 0.005, smoothing: float = 0.5, penalty: float = 6.0, rounds: int = 30, least: float = 0.25, seed: int = 5) -> DataFrame:
-    """The columns keep as c0, c1, ... with language, languages, proportions (strongest first) and accepted.
+        results = []
+        for _, _, data, offsets in text_slices(column, 1 << 18):
+            if len(data) > LONG:  # one long text: its bins, weighed
+                counts = long_counts(data)
+                bins = np.flatnonzero(counts)
+                pi = mixtures(p, bins, np.array([0, len(bins)]), penalty, rounds, counts[bins])
+            else:
+                pi = mixtures(p, *trigrams(data, offsets), penalty, rounds)
+            for x in pi:
+                found = [int(i) for i in np.argsort(-x, kind="stable") if x[i] > 0]
+                known = [i for i in found if i < len(languages)]
+                top = known[0] if known and (not languages or x[known[0]] >= least) else len(languages)
+                results.append((names[top], [names[i] for i in found], [round(float(x[i]), 6) for i in found], not languages or top < len(languages) and (allowed is None or names[top] in allowed)))
+        columns = list(zip(*results)) or [()] * 4
+        kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], RESULT.names)
+
+    judge.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return judge
+
+
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, allowed: list[str] | None = None, rows_per_language: int = 2_000, least_share: float = 0.005, smoothing: float = 0.5, penalty: float = 6.0, rounds: int = 30, least: float = 0.25, seed: int = 5) -> Column:
+    """language, languages, proportions (strongest first) and accepted of each row of docs, as one column of RESULT.
 
     The models are fitted on at most rows_per_language documents of each value of lang_col that at least least_share of the
     labelled documents have, so of 200 languages at most, a hash sample by id: the documented bound of the fit. A document
@@ -227,21 +229,17 @@ def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
     """
     bounded(docs.sparkSession)
     languages, p = fit(docs, id_col, text_col, lang_col, rows_per_language, least_share, smoothing, seed)
-    at = {c: i for i, c in enumerate(dict.fromkeys([*keep, text_col]))}
-    slim = docs.select(*(docs[c] for c in at))
-    if slim.schema[text_col].dataType != T.StringType():
-        slim = slim.withColumn(text_col, F.col(text_col).cast("string"))
     model = docs.sparkSession.sparkContext.broadcast(p.tobytes())
-    schema = T.StructType([*(T.StructField(f"c{i}", slim.schema[at[c]].dataType) for i, c in enumerate(keep)), *RESULT.fields])
-    return slim.mapInArrow(_identify(model, languages, allowed, at[text_col], [at[c] for c in keep], penalty, rounds, least), schema)
+    judge = F.arrow_udf(_identified(model, languages, allowed, penalty, rounds, least), RESULT)
+    return judge(F.coalesce(docs[text_col].cast("string"), F.lit("")))
 
 
 def language_mixtures(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """(doc_id, language, languages, proportions, accepted) for every row; see identify."""
-    return identify(docs, [id_col], id_col, **options).withColumnRenamed("c0", "doc_id")
+    """(doc_id, language, languages, proportions, accepted) for every row; see identified."""
+    found = docs.select(F.col(id_col).alias("doc_id"), identified(docs, id_col, **options).alias("found"))
+    return found.select("doc_id", "found.*")
 
 
 def accepted(docs: DataFrame, **options) -> DataFrame:
-    """docs' accepted rows with all their columns; see identify."""
-    found = identify(docs, docs.columns, **options).where("accepted")
-    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    """docs' accepted rows with all their columns; see identified. Texts go to Python, and a verdict each comes back."""
+    return docs.where(identified(docs, **options)["accepted"])

@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import BLOCK, U64, bounded, mix, runs, text_slices, written
 
@@ -81,30 +80,26 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, smoothing: float) -> np.ndar
     return np.rint((np.log(p / p.sum()) - np.log(q / q.sum())) * UNITS).astype(np.int64)
 
 
-def _weigh(ratios, text_at: int, bits: int, keep: list[int]):
-    """Passes the columns at keep through and adds the log weight in units."""
+def log_weight(ratios, bits: int):
+    """The log weight, in units, of each text of a column; ratios: the shared log ratios of all bins."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def units(column: pa.Array) -> pa.Array:
         table = np.frombuffer(ratios.value, np.int64)
-        for batch in batches:
-            sums = [np.zeros(0, np.int64)]
-            for a, b, data, offsets in text_slices(batch.column(text_at)):
-                sums.append(np.zeros(b - a, np.int64))
-                for at, row in feature_blocks(data, offsets, bits):
-                    np.add.at(sums[-1], row, table[at])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(np.concatenate(sums))], [*(f"c{i}" for i in range(len(keep))), "units"])
+        sums = [np.zeros(0, np.int64)]
+        for a, b, data, offsets in text_slices(column):
+            sums.append(np.zeros(b - a, np.int64))
+            for at, row in feature_blocks(data, offsets, bits):
+                np.add.at(sums[-1], row, table[at])
+        return pa.array(np.concatenate(sums))
 
-    return run
+    units.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(units, "long")
 
 
-def weighed(df: DataFrame, ratios: np.ndarray, text_col: str, keep: list[str]) -> DataFrame:
-    """df's columns keep with one more at the end, units: the log weight of text_col."""
-    at = {c: i for i, c in enumerate(dict.fromkeys([*keep, text_col]))}
-    slim = df.select(*(df[c].cast("string") if c == text_col and c not in keep else df[c] for c in at))
+def weighed(df: DataFrame, ratios: np.ndarray, text_col: str) -> Column:
+    """The log weight of text_col: texts go to Python, and a number each comes back."""
     shared = df.sparkSession.sparkContext.broadcast(ratios.tobytes())
-    schema = T.StructType([*(T.StructField(f"c{i}", slim.schema[at[c]].dataType) for i, c in enumerate(keep)), T.StructField("units", T.LongType())])
-    bits = len(ratios).bit_length() - 1
-    return slim.mapInArrow(_weigh(shared, at[text_col], bits, [at[c] for c in keep]), schema)
+    return log_weight(shared, len(ratios).bit_length() - 1)(F.coalesce(df[text_col].cast("string"), F.lit("")))
 
 
 def gumbel(id_col: Column, seed: int) -> Column:
@@ -137,8 +132,9 @@ class Selection:
     def keeps(self, noisy: Column, id_col: Column) -> Column:
         if self.cut is None:
             return F.lit(True)
-        inside = noisy > self.cut
-        return inside if self.last_id is None else inside | ((noisy == self.cut) & (id_col <= self.last_id))
+        last = F.lit(self.last_id if self.last_id is not None else -(1 << 63)).cast("long")
+        # One comparison, so that the weight, which Python computes, is in it once.
+        return F.struct(noisy.alias("a"), (-1 - id_col).alias("b")) >= F.struct(F.lit(self.cut).cast("long").alias("a"), (-1 - last).alias("b"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits: int = 16, smoothing: float = 1.0, target_rows: int = 20_000, recall: float = 0.998, seed: int = 11) -> tuple[Selection, DataFrame | None]:
@@ -159,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Selection(np.zeros(1 << bits, np.int64), None, None, seed), None
     raw = bin_counts(texts.select("text"), bits)
     ratios = log_ratios(target, raw, smoothing)
-    scores = weighed(texts, ratios, "text", ["id"]).select(F.col("c0").alias("id"), "units")
+    scores = texts.select("id", weighed(texts, ratios, "text").alias("units"))
     scores = written(scores.withColumn("noisy", F.col("units") + gumbel(F.coalesce("id", F.lit(-1)), seed)), "weights")
     floor = scores.join(F.broadcast(good), F.col("id") == F.col("good"), "left_semi").agg(F.percentile("units", F.lit(1 - recall))).first()[0]
     k = scores.where(F.col("units") >= floor).count()
@@ -179,10 +175,9 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     chosen, scores = fit(docs, labels, id_col, text_col, **fit_options)
     if scores is None:
         return docs
-    out = weighed(docs, chosen.ratios, text_col, docs.columns)
-    key = F.col(f"c{docs.columns.index(id_col)}").cast("long")
-    noisy = F.col("units") + gumbel(F.coalesce(key, F.lit(-1)), chosen.seed)
-    return out.where(chosen.keeps(noisy, F.coalesce(key, F.lit(-(1 << 63))))).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    key = docs[id_col].cast("long")
+    noisy = weighed(docs, chosen.ratios, text_col) + gumbel(F.coalesce(key, F.lit(-1)), chosen.seed)
+    return docs.where(chosen.keeps(noisy, F.coalesce(key, F.lit(-(1 << 63)))))
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fit_options) -> DataFrame:
