@@ -18,26 +18,33 @@ OUT = "conv_id long, version long, changed boolean, entries long, top binary"
 STATE = "patterns array<binary>, freqs array<long>, savings array<long>, seen array<long>, batches long"
 
 
-def session_vocabulary(turns: DataFrame, cap: int = WINDOW_CAP, learn_every: int = 1) -> DataFrame:
+def session_vocabulary(turns: DataFrame, cap: int = WINDOW_CAP, learn_every: int = 1, idle_ms: int | None = None) -> DataFrame:
     """A row for each micro-batch and conversation of a stream of (conv_id, turn, text): the window after its turns, taken
-    in turn order; every learn_every-th turn is learned."""
+    in turn order; every learn_every-th turn is learned. A conversation without turns for idle_ms is forgotten, by default
+    never: then the state grows with the conversations."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         if state.exists:
             patterns, freqs, savings, seen, batches = state.get
             window = SessionWindow(list(zip(patterns, freqs, savings, seen)), batches, cap)
         else:
             window = SessionWindow(cap=cap)
         changed = False
-        for _, row in pd.concat(list(parts)).sort_values("turn").iterrows():
-            if row["turn"] % learn_every == 0:
-                changed |= window.update(codecs.mine((row["text"] or "").encode()))
+        turns = pd.concat(list(parts)).sort_values("turn")
+        for turn, text in zip(turns["turn"], turns["text"]):
+            if turn % learn_every == 0:
+                changed |= window.update(codecs.mine((text or "").encode()))
         rows = window.rows()
         state.update(tuple(list(x) for x in (zip(*rows) if rows else ((), (), (), ()))) + (window.batches,))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         best = min((codecs.Entry(p, f, s) for p, f, s, _ in rows), key=codecs.order_of, default=None)
         yield pd.DataFrame({"conv_id": [key[0]], "version": [window.batches], "changed": [changed], "entries": [len(rows)], "top": [best.pattern if best else b""]})
 
-    return turns.groupBy("conv_id").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return turns.groupBy("conv_id").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def call_rates(events: DataFrame, width: str = "1 minute", late: str = "10 minutes", most: int = 60) -> DataFrame:
