@@ -557,6 +557,14 @@ def test_bpe_equals_the_library(spark, sf, docs, odd, none):
     assert bpe.encode(odd).count() == len(ODD) and bpe.decode(bpe.encode(none)).count() == 0
 
 
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("u-1", "some words here", "en", "a", 0), ("u-2", "some words here", "en", "a", 0), (None, "x", "en", "a", 0)], DOCS.replace("doc_id long", "doc_id string"))
+    for out in (bpe.encode(df), langid.language_mixtures(df), packing.pack(df), sharding.assign(df)):
+        assert {r.doc_id for r in out.collect()} == {"u-1", "u-2", None}
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("http://a.b/").alias("url"), F.col("text").alias("html"))
+    assert {r.page_id for r in urlfilter.decide(pages, urlfilter.default_entries(spark)).collect()} == {r.page_id for r in warc.derivatives(warc.responses(pages, warc.DATE)).collect()} == {"u-1", "u-2", None}
+
+
 def test_bpe_recovers_merges_from_ranks():
     import tiktoken
 

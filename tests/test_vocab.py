@@ -58,3 +58,16 @@ def test_all_lengths_and_turns(spark, folder):
     fires = full(lambda k, f: used(pruned(f)[:200], data[k]))
     assert rows(mining.prune_to_fired(spark, folder)) == fires
     assert len(fires) < len(full(lambda k, f: pruned(f)[:200]))
+
+
+def test_general_dictionary(spark, tmp_path):
+    texts = [x for _, _, x in TEXTS] + ["wide " * 20_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    total = Counter()
+    for x in texts[:-1]:
+        found = candidates(x)
+        for p in pruned(found)[:200]:
+            total[p] += found[p]
+    got = {bytes.fromhex(r.pattern): r.freq for r in mining.general_dictionary(spark, str(tmp_path)).collect()}
+    short = {p: n for p, n in total.items() if p.strip(b" \t\r\n") and b"wide" not in p}
+    assert {p: got.get(p) for p in short} == short and any(b"wide " in p for p in got) and len(got) <= 5000

@@ -245,8 +245,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, v
 
     With back there is text as well, what the ids decode to: one Python stage where decode would take a second.
     A null text has null ids and 0 tokens, an empty one no ids; rows that repeat are encoded alike, null ids are kept. The
-    strings of special tokens are ordinary text. Words of equal bytes have equal tokens, so there are no ties. The table
-    may be empty and have any further columns. What is broadcast is the vocabulary.
+    strings of special tokens are ordinary text. Words of equal bytes have equal tokens, so there are no ties. A very long
+    text is a block of its own and is encoded whole. Ids keep their type. The table may be empty and have any further
+    columns. What is broadcast is the vocabulary.
     """
     bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary))
@@ -263,8 +264,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, v
                     columns = [part.column(0).slice(a + row, len(own)), pa.array(sizes[row : row + 512].astype(np.int32)), own, *([decoded(encoder.vocabulary, own)] if back else [])]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "token_ids", "text"][: len(columns)])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens int, token_ids array<int>" + ", text string" * back)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, n_tokens int, token_ids array<int>" + ", text string" * back)
 
 
 def decode(encoded: DataFrame, *, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

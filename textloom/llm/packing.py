@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 LEVEL = 64
+MOST_PARTITIONS = 2_000
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -169,6 +170,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
     pool = items.select(F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("length")), "piece"), F.lit(groups)).alias("group"), "id", "piece", "length")
     level, done = 0, []
     while True:
+        # As many partitions as groups, within reason: by bytes, which are few, all groups would end up in a task or two.
+        pool = pool.repartition(min(groups, MOST_PARTITIONS), "group")
         packed = written(pool.groupBy("group").applyInArrow(_pack(capacity, level, groups == 1, full), schema), "packed")
         done.append(packed.where("not open"))
         if groups == 1:

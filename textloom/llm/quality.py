@@ -169,6 +169,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Rows with a null id share one noise value; rows that repeat an id share theirs. Null and empty texts have weight 0.
     Labels may be null, repeat or name unknown documents; a document is a target if any of its labels has quality 1.
+    A very long text is hashed in pieces and weighed as a whole. Ids are whole numbers.
     Without a labelled target text nothing can be judged and every row stays. Ties at the cut go to the smallest id; rows
     that repeat the id at the cut all stay. The table may be empty and have any further columns.
     """

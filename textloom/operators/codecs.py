@@ -355,10 +355,14 @@ def _numbers(data: bytes) -> list[int]:
     return out
 
 
+def split_ids(streams: tuple[bytes, ...], form: str) -> list[int]:
+    """The ids of the tokens that the streams hold."""
+    numbers = _numbers(streams[0])
+    return numbers if form in ("v1", "v3", "v4") else numbers[1::2]
+
+
 def split_tokens(streams: tuple[bytes, ...], form: str) -> int:
-    """How many tokens the streams hold."""
-    n = len(_numbers(streams[0]))
-    return n if form in ("v1", "v3", "v4") else n // 2
+    return len(split_ids(streams, form))
 
 
 def split_literals(streams: tuple[bytes, ...], form: str) -> bytes:
@@ -415,6 +419,12 @@ def byte_table(data: bytes) -> list[int]:
     return normalise([counts.get(s, 0) for s in range(256)])
 
 
+def smoothed_table(samples: list[bytes]) -> list[int]:
+    """A table with every byte possible, trained on samples, for data that they haven't seen."""
+    counts = Counter(b"".join(samples))
+    return normalise([1 + 8 * counts.get(s, 0) for s in range(256)])
+
+
 def dump_table(freq: list[int]) -> bytes:
     used = [(s, f) for s, f in enumerate(freq) if f]
     return varint(len(used)) + b"".join(bytes([s]) + varint(f) for s, f in used)

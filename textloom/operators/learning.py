@@ -108,23 +108,36 @@ def _versions(pinned: DataFrame) -> dict[int, list[bytes]]:
     return out
 
 
-def frozen_encode(rows: DataFrame, pinned: DataFrame, text_col: str) -> DataFrame:
+def _frozen(data: bytes, matcher: codecs.Matcher, form: str) -> bytes:
+    return codecs.codon_encode(data, matcher) if form == "codon" else codecs.pack_plain(codecs.split_encode(data, matcher, form))
+
+
+def _thawed(code: bytes, patterns: list[bytes], form: str) -> tuple[int, bytes]:
+    """(bytes that the tokens and literals stand for, the data)."""
+    if form == "codon":
+        return codecs.covered(code, patterns), codecs.codon_decode(code, patterns)
+    streams = codecs.unpack_plain(code)
+    covered = len(codecs.split_literals(streams, form)) + sum(len(patterns[i - 1]) for i in codecs.split_ids(streams, form))
+    return covered, codecs.split_decode(streams, patterns, form)
+
+
+def frozen_encode(rows: DataFrame, pinned: DataFrame, text_col: str, form: str = "codon") -> DataFrame:
     """rows with code: text_col encoded with the entries pinned (version, rank, pattern) of the row's version, which begins
-    the code. Nothing is learned. A version without entries leaves the text as literals."""
+    the code, as codons or in a split form. Nothing is learned. A version without entries leaves the text as literals."""
     shared = rows.sparkSession.sparkContext.broadcast(_versions(pinned))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers = {v: codecs.Matcher(p) for v, p in shared.value.items()}
         none = codecs.Matcher([])
         for batch in batches:
-            codes = [codecs.varint(v) + codecs.codon_encode(bytes(d or b""), matchers.get(v, none)) for v, d in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
+            codes = [codecs.varint(v) + _frozen(bytes(d or b""), matchers.get(v, none), form) for v, d in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(codes, pa.binary())], [*batch.schema.names[:-2], "code"])
 
     slim = rows.select(*rows.columns, F.col("version").cast("long").alias("__version"), F.encode(text_col, "UTF-8").alias("__data"))
     return slim.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, ("code", "binary")]))
 
 
-def decode_by_version(coded: DataFrame, pinned: DataFrame) -> DataFrame:
+def decode_by_version(coded: DataFrame, pinned: DataFrame, form: str = "codon") -> DataFrame:
     """coded with version, covered and data: each code decoded with the entries of the version that it begins with; one of
     which there are no entries may only hold literals."""
     shared = coded.sparkSession.sparkContext.broadcast(_versions(pinned))
@@ -136,7 +149,7 @@ def decode_by_version(coded: DataFrame, pinned: DataFrame) -> DataFrame:
             for code in batch.column(at).to_pylist():
                 version, start = codecs.read_varint(bytes(code), 0)
                 patterns = shared.value.get(version, [])
-                out.append((version, codecs.covered(bytes(code)[start:], patterns), codecs.codon_decode(bytes(code)[start:], patterns)))
+                out.append((version, *_thawed(bytes(code)[start:], patterns, form)))
             columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary())))], [*batch.schema.names, "version", "covered", "data"])
 

@@ -95,6 +95,9 @@ _roundtrip("two_pass_roundtrip", codecs.tokenize, codecs.detokenize, covered=(la
 _roundtrip("ans_roundtrip", codecs.ans_encode, codecs.ans_decode, symbols=_SYMBOLS, packed=_PACKED)
 _roundtrip("ans_bits_roundtrip", codecs.ans_bits_encode, codecs.ans_bits_decode, symbols=_SYMBOLS, packed=_PACKED)
 _roundtrip("ans_o1_roundtrip", codecs.order1_encode, codecs.order1_decode, contexts=(_SYMBOLS[0], f"len(list_distinct(list_prepend('00', ({_BYTES})[1:{_N} - 1])))"))
+_TABLE, _ORDER1 = codecs.smoothed_table(PATTERNS), codecs.smoothed_order1(PATTERNS)
+_roundtrip("ans_given_roundtrip", lambda d: codecs.ans_encode(d, _TABLE), lambda c: codecs.ans_decode(c, _TABLE), declared=(lambda code, _: codecs.read_varint(code, 0)[0], _N))
+_roundtrip("pipeline_given_roundtrip", lambda d: codecs.compress(d, "order1", tables=_ORDER1), lambda c: codecs.decompress(c, _ORDER1), mode=(lambda code, _: codecs.unframe(code)[0], str(codecs.ORDER1 | codecs.CODON)), overhead=(lambda code, _: len(code) - len(codecs.unframe(code)[1]), "14"))
 _roundtrip("backref_roundtrip", codecs.lz_encode, codecs.lz_decode, **_references(2, 6))
 _roundtrip("literal_lz_roundtrip", lambda d: codecs.lz_encode(d, mark=1, least=4, most=255), lambda c: codecs.lz_decode(c, mark=1), **_references(1, 4))
 _roundtrip("local_repeat_roundtrip", codecs.local_encode, codecs.local_decode, covered=_references(3, 4)["covered"])

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from textloom import tables
 from textloom.operators import codecs, learning, shards, split, vocab
 
+from textloom.sources import corpus
+
 from .coding import PATTERNS, turns
 from .registry import query
 
@@ -228,18 +230,47 @@ def learn_encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", "turn", "version", "entries", F.sha2("data", 256).alias("restored_sha256"), "covered")
 
 
-@query("SELECT conv_id, turn, 1 + (conv_id % 3) AS version, sha256(text) AS restored_sha256, octet_length(encode(text)) AS covered FROM conversations")
-def frozen_encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoded against pinned versions of a vocabulary, here one a third of the conversations, and decoded by the version
-    that each frame carries."""
+def _frozen_roundtrip(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
     t = turns(spark, sf_dir).withColumn("version", 1 + F.col("conv_id") % 3)
     learned = vocab.mined(t, ["conv_id", "turn", "version"])
     pinned = vocab.top(learned.where("saving >= 3").groupBy("version", "pattern").agg(F.sum("freq").alias("freq"), F.sum("saving").alias("saving")), ["version"], learning.PINNED)
-    coded = learning.frozen_encode(t, pinned, "text")
-    back = learning.decode_by_version(coded.select("conv_id", "turn", "code"), pinned)
+    pinned = tables.written(pinned, "pinned")
+    coded = learning.frozen_encode(t, pinned, "text", form)
+    back = learning.decode_by_version(coded.select("conv_id", "turn", "code"), pinned, form)
     return back.select("conv_id", "turn", "version", F.sha2("data", 256).alias("restored_sha256"), "covered")
 
 
+_FROZEN = "SELECT conv_id, turn, 1 + (conv_id % 3) AS version, sha256(text) AS restored_sha256, octet_length(encode(text)) AS covered FROM conversations"
+
+
+@query(_FROZEN)
+def frozen_encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded against pinned versions of a vocabulary, here one a third of the conversations, and decoded by the version
+    that each frame carries."""
+    return _frozen_roundtrip(spark, sf_dir, "codon")
+
+
+@query(_FROZEN)
+def frozen_split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in split form v4."""
+    return _frozen_roundtrip(spark, sf_dir, "v4")
+
+
+@query(_FROZEN)
+def frozen_interleaved_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in the interleaved form."""
+    return _frozen_roundtrip(spark, sf_dir, "interleaved")
+
+
+@query()
+def general_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5,000 best patterns of all documents, mined in chunks of 65,536 bytes. Without SQL, which would take hours:
+    tests/test_vocab.py has brute force."""
+    docs = tables.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    parts = corpus.chunks(docs.where("text is not null"), ["doc_id"], F.encode("text", "UTF-8"))
+    return _hex(vocab.static_dictionary(vocab.mined(parts, ["doc_id", "chunk"], "data")))
+
+
 @query("SELECT conv_id, turn, sha256(text) AS restored_sha256, octet_length(encode(text)) AS covered FROM conversations")
 def window_v1_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The small window: learns each turn, evicts, encodes in two passes with the vocabulary in the header; decoding needs
