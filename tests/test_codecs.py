@@ -130,3 +130,23 @@ def test_package_errors():
     for data in (b"", b"\x09\x00\x00\x00abc"):
         with pytest.raises(c.CodecError):
             c.package_decompress(data, VOCAB, b"")
+
+
+@settings(max_examples=40, deadline=None)
+@given(data=DATA)
+def test_references_never_lengthen(data):
+    code = c.lz_encode(data, least=None)
+    assert c.lz_decode(code) == data and len(code) <= len(data) + data.count(b"\x02") and sum(c.lz_facts(code)[:2]) == len(data)
+
+
+def test_references_that_pay():
+    """Four bytes pay within 127 bytes, at two bytes of distance they don't; of two runs the nearer one, where it saves more."""
+    near, far = (b"wxyz" + bytes(range(128, 128 + n)) + b"wxyz" for n in (100, 128))
+    assert c.lz_encode(near, least=None) == near[:-4] + b"\x02\x04\x68" and c.lz_encode(far, least=None) == far
+    short = "".join(f"ouau{chr(0x4E00 + 65 * k)}" for k in range(30)).encode()
+    assert c.lz_facts(c.lz_encode(short))[2] == 0 and len(short) >= 200
+    encode, decode = c.layered(VOCAB)["backref"]
+    assert len(encode(short)) < len(short) and decode(encode(short)) == short
+    noise = b"".join(bytes([3 + i // 200, 3 + i % 200]) for i in range(8500))
+    two = b"abcde" + noise + b"-abcd=abcde"
+    assert c.lz_encode(two, least=None).endswith(b"-abcd=\x02\x04\x05e")

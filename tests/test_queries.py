@@ -39,3 +39,18 @@ def test_against_sql(spark, sf, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_short_repeats_alone(spark, tmp_path):
+    """A text of some length in which four bytes repeat, but no six: references back shorten it nevertheless."""
+    texts = ["".join(f"ouau{chr(0x4E00 + 65 * k)}" for k in range(30)), "short", "", "the text and the text that is " * 9]
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    for name, column, value in (("layered_backref_roundtrip", "packed", 1), ("backref_roundtrip", "refers", 0)):
+        df = QUERIES[name](spark, str(tmp_path))
+        rows, result = df.collect(), con.execute(ORACLES[name])
+        columns = [d[0] for d in result.description]
+        assert sorted([plain(r[c]) for c in columns] for r in rows) == sorted([plain(v) for v in r] for r in result.fetchall())
+        assert next(r[column] for r in rows if r["turn"] == 0) == value
