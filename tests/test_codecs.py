@@ -159,3 +159,21 @@ def test_short_texts_of_many_accents_get_huffman_codes():
         code = c.huffman_deflate(data)
         assert c.inflate(code) == data and code[0] >> 1 & 3 in (1, 2)
     assert c.deflate("Óóèíúüéà".encode())[0] >> 1 & 3 == 0
+
+
+#: Of 203 bytes; their table and references took all that the usual form saves.
+TIGHT = "pfkeit, einie ungbe pfkeit, verß. augeen von, enäst. pfkeit, teen, ungbe, chpfer. ge, quy lichungie. einie jux, verß Heit. verß, einie stung enää, quy überheit enster die. ungbe erenpf, stung, ch,"
+
+
+@settings(max_examples=40, deadline=None)
+@given(data=DATA)
+def test_squeezed(data):
+    code = c.squeeze(data)
+    assert c.unsqueeze(code) == data and len(code) <= 1 + len(c.ans_encode(c.lz_encode(data)))
+    with pytest.raises(c.CodecError):
+        c.unsqueeze(b"\x09" + code)
+
+
+def test_tight_texts_get_shorter():
+    data = TIGHT.encode()
+    assert len(c.ans_encode(c.lz_encode(data))) >= len(data) >= 200 and len(c.squeeze(data)) < 0.8 * len(data)

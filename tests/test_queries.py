@@ -71,3 +71,9 @@ def against_sql(spark, folder, name, texts):
 
 def test_deflate_of_short_texts_of_many_accents(spark, tmp_path):
     against_sql(spark, tmp_path, "deflate_roundtrip", ["Óóèíúüéà", "Ó que.le é àí ßà.ê en ö.ó.è çäde.è.úö ez.", "", "plain", "the text and the text that is " * 9])
+
+
+def test_full_layers_of_tight_texts(spark, tmp_path):
+    from tests.test_codecs import TIGHT
+
+    against_sql(spark, tmp_path, "layered_full_roundtrip", [TIGHT, "", "short", "the text and the text that is " * 9])
