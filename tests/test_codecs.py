@@ -177,3 +177,50 @@ def test_squeezed(data):
 def test_tight_texts_get_shorter():
     data = TIGHT.encode()
     assert len(c.ans_encode(c.lz_encode(data))) >= len(data) >= 200 and len(c.squeeze(data)) < 0.8 * len(data)
+
+
+@settings(max_examples=60, deadline=None)
+@given(data=DATA)
+def test_learned_vocabularies_match_as_kept_ones(data):
+    patterns = VOCAB + [e.pattern for e in c.mine(data)] + [b"", b"a", b"quick"]
+    assert c.Matcher(patterns).pieces(data) == c.Matcher(patterns, kept=True).pieces(data)
+
+
+@settings(max_examples=60, deadline=None)
+@given(data=DATA, limit=st.sampled_from([1, 3, 200, 1 << 30]))
+def test_mining_drops_what_lies_inside_better_ones(data, limit):
+    kept = []
+    for e in sorted((c.Entry(p, n, (len(p) - 2) * n) for p, n in c.count_patterns(data).items()), key=c.order_of):
+        if len(kept) < limit and not any(e.pattern in k.pattern for k in kept):
+            kept.append(e)
+    assert c.mine(data, limit) == kept
+
+
+def test_order1_by_plain_arithmetic():
+    """The states as the rule has them, with numbers of any size and no table made for a text that has none."""
+    data, tables = b"abracadabra abracadabra", c.smoothed_order1([b"abracadabra"])
+    for given in (None, tables):
+        code = c.order1_encode(data, given)
+        freq = {a: dict(enumerate(f)) for a, f in tables.items()} if given else {a: dict(used) for a, used in c.order1_tables(data).items()}
+        x, out = 1 << 23, []
+        for a, s in reversed(list(zip(b"\x00" + data, data))):
+            while x >= freq[a][s] << 20:
+                out.insert(0, x & 255)
+                x >>= 8
+            x = x // freq[a][s] * 2048 + x % freq[a][s] + sum(f for t, f in freq[a].items() if t < s)
+        assert code.endswith(x.to_bytes(4, "little") + bytes(out)) and c.order1_decode(code, given) == data
+        with pytest.raises(c.CodecError):
+            c.order1_decode(code[:-3], given)
+    assert c._contexts(tables) is c._contexts(tables)
+    with pytest.raises(c.CodecError):
+        c.ans_encode(b"ab", [2048 * (s == 97) for s in range(256)])
+
+
+def test_nothing_is_tokenized_twice(monkeypatch):
+    calls, tokenize = [], c.tokenize
+    monkeypatch.setattr(c, "tokenize", lambda *given: calls.append(1) or tokenize(*given))
+    messages = [b"the quick brown fox " * n for n in (1, 3, 9)] + [b"\x00\x01"]
+    c.stats(messages[2])
+    assert len(calls) == 1
+    c.compress_batch(messages, majority=True)
+    assert len(calls) == 1 + len(messages)
