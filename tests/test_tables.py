@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from textloom import tables
 from textloom.functions import bytesview as B
 from textloom.operators import codecs, learning, ranks, similarity, split, vocab
-from textloom.plans import analytics
+from textloom.plans import analytics, catalogue  # noqa: F401
+from textloom.plans.registry import QUERIES
 
 
 def session(master, setting=None):
@@ -121,3 +122,24 @@ def test_tiers_by_key(spark):
     entries = spark.createDataFrame([("a", bytearray(b"long one"), 3, 30), ("a", bytearray(b"short"), 3, 9), ("b", bytearray(b"other"), 3, 9)], "role string, pattern binary, freq long, saving long")
     rows = vocab.tiers([entries, entries.where("role = 'a'")], ["role"]).collect()
     assert {(r.role, r.tier, bytes(r.pattern), r.token_id) for r in rows} == {("a", 0, b"long one", 1), ("a", 0, b"short", 2), ("a", 1, b"long one", 3), ("a", 1, b"short", 4), ("b", 0, b"other", 1)}
+
+
+def test_costly_work_is_dealt_to_all_cores(spark, tmp_path):
+    """One row group is one task's, into however many parts Spark splits its file."""
+    spark.range(20_000).selectExpr("id", "sha2(cast(id as string), 256) as text").coalesce(1).write.parquet(f"{tmp_path}/t")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        df = spark.read.parquet(f"{tmp_path}/t")
+        sizes = lambda d: [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]
+        assert df.rdd.getNumPartitions() > 4 and len(sizes(tables.spread(df))) == 1
+        dealt = sizes(tables.dealt(df))
+        assert len(dealt) == tables.tasks(df) >= 4 and max(dealt) < 1.2 * min(dealt) and sum(dealt) == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("name", "content_identity_dups general_dictionary pipeline_order1_roundtrip ans_o1_roundtrip window_snapshot_roundtrip batch_roundtrip learn_encode_roundtrip tier_stats".split())
+def test_costly_queries_keep_their_tasks(spark, sf, name):
+    """A fixed number of them, which isn't lowered when their bytes are few."""
+    assert "REPARTITION_BY_NUM" in QUERIES[name](spark, sf)._jdf.queryExecution().toString()

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.tables import scratch, shared_dir, spread, written
+from textloom.tables import BATCH_BYTES, BATCH_ROWS, bounded, scratch, shared_dir, spread, written
 
-__all__ = ["scratch", "shared_dir", "spread", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "bounded", "scratch", "shared_dir", "spread", "written"]
 
 #: A table of one or two numbers a row is broadcast only while it has at most this many rows, some 32 MB of numbers.
 BROADCAST_ROWS = 2_000_000
@@ -20,19 +20,6 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
-#: Rows of an Arrow batch; texts may be long, and every task holds a batch on either side.
-BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
-
-
-def bounded(spark: SparkSession) -> None:
-    """Keeps the Arrow batches of the session's Python stages small, unless they are smaller already. It stays so for the
-    session, as the setting is read when a result is computed, which is after the operator has returned."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key, None)
-        if now is not None and not (now.isdigit() and 0 < int(now) <= most):
-            spark.conf.set(key, str(most))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 

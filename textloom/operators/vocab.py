@@ -29,15 +29,19 @@ def ngram_counts(chunks: DataFrame, keys: list[str], text_col: str, length: int)
     return grams.where(good).groupBy(*keys, "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= codecs.MIN_COUNT)
 
 
+_CHUNKS = 128  # whose entries are made into rows at once
+
+
 def _of_chunks(chunks: DataFrame, keys: list[str], text_col: str, entries: Callable[[bytes], Iterable[tuple[int, codecs.Entry]]]) -> DataFrame:
-    """keys, rank, pattern, freq, saving: what entries finds in each chunk. Chunk by chunk in the mappers; nothing moves."""
+    """keys, rank, pattern, freq, saving: what entries finds in each chunk. Chunk by chunk in the mappers; nothing moves, and
+    what a task holds are the entries of a few chunks."""
     slim = chunks.select(*keys, F.col(text_col).cast("binary").alias("__data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, _CHUNKS) for b in batches for i in range(0, b.num_rows, _CHUNKS)):
             at, rows = [], []
-            for i, data in enumerate(batch.column(len(keys)).to_pylist()):
-                for rank, e in entries(bytes(data or b"")):
+            for i, data in enumerate(batch.column(len(keys))):
+                for rank, e in entries(data.as_py() or b""):
                     at.append(i)
                     rows.append((rank, e.pattern, e.freq, e.saving))
             columns = zip(*rows) if rows else ((), (), (), ())

@@ -10,7 +10,7 @@ from textloom.operators import codecs, learning, shards, split, vocab
 
 from textloom.sources import corpus
 
-from .coding import PATTERNS, turns
+from .coding import PATTERNS, dealt_turns, turns
 from .registry import query
 
 #: Patterns are hexadecimal digits; dotted ones are compared for containment, as a dot keeps bytes aligned.
@@ -30,7 +30,7 @@ _WINDOW = f"""{_MINED}, win AS (SELECT conv_id, p, CAST(sum(freq) AS BIGINT) AS
 
 
 def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.mined(turns(spark, sf_dir), ["conv_id", "turn", "role"])
+    return vocab.mined(dealt_turns(spark, sf_dir), ["conv_id", "turn", "role"])
 
 
 def _hex(df: DataFrame) -> DataFrame:
@@ -46,20 +46,20 @@ def ngram_counts_8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_GRAMS} SELECT len, count(*) AS patterns, CAST(sum(freq) AS BIGINT) AS occurrences FROM f GROUP BY len")
 def frequency_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all lengths, how many patterns there are and how often they occur."""
-    found = vocab.candidates(turns(spark, sf_dir), ["conv_id", "turn"])
+    found = vocab.candidates(dealt_turns(spark, sf_dir), ["conv_id", "turn"])
     return found.groupBy(F.octet_length("pattern").cast("long").alias("len")).agg(F.count("*").alias("patterns"), F.sum("freq").cast("long").alias("occurrences"))
 
 
 @query(f"WITH {_CANDIDATES} SELECT conv_id, turn, p AS pattern, freq, CAST(saving AS BIGINT) AS saving FROM cand")
 def vocab_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hex(vocab.candidates(turns(spark, sf_dir), ["conv_id", "turn"])).drop("rank")
+    return _hex(vocab.candidates(dealt_turns(spark, sf_dir), ["conv_id", "turn"])).drop("rank")
 
 
 @query(f"""WITH {_CANDIDATES} SELECT conv_id, turn, p AS pattern, freq, CAST(saving AS BIGINT) AS saving FROM cand a
   WHERE NOT EXISTS (SELECT 1 FROM cand b WHERE b.conv_id = a.conv_id AND b.turn = a.turn AND b.place < a.place AND contains(b.dotted, a.dotted))""")
 def vocab_dominated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates of all lengths that aren't inside a better one, however many."""
-    return _hex(vocab.mined(turns(spark, sf_dir), ["conv_id", "turn"], limit=1 << 30)).drop("rank")
+    return _hex(vocab.mined(dealt_turns(spark, sf_dir), ["conv_id", "turn"], limit=1 << 30)).drop("rank")
 
 
 @query(f"WITH {_MINED} SELECT conv_id, turn, rank, p AS pattern, freq, saving FROM mined")
@@ -192,7 +192,7 @@ def tier_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT m.conv_id, m.turn, m.rank, p AS pattern, freq, saving FROM mined m JOIN hits h ON h.conv_id = m.conv_id AND h.turn = m.turn AND replace(h.hit, '.', '') = p""")
 def prune_to_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every turn's vocabulary the entries that its encoding uses."""
-    return _hex(vocab.fired(turns(spark, sf_dir), ["conv_id", "turn"]))
+    return _hex(vocab.fired(dealt_turns(spark, sf_dir), ["conv_id", "turn"]))
 
 
 @query(f"""WITH {_MINED} SELECT c.conv_id, c.turn, CAST(count(m.p) AS BIGINT) AS entries, CAST(coalesce(sum(m.saving), 0) AS BIGINT) AS saving, coalesce(string_agg(p, ',' ORDER BY rank), '') AS patterns
@@ -205,14 +205,14 @@ def window_snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         return {"entries": len(back), "saving": sum(e.saving for e in back), "patterns": ",".join(e.pattern.hex().upper() for e in back)}
 
     kind = "struct<entries:bigint,saving:bigint,patterns:string>"
-    return turns(spark, sf_dir).select("conv_id", "turn", split.byte_udf(there_and_back, kind)(F.encode("text", "UTF-8")).alias("s")).select("conv_id", "turn", "s.*")
+    return dealt_turns(spark, sf_dir).select("conv_id", "turn", split.byte_udf(there_and_back, kind)(F.encode("text", "UTF-8")).alias("s")).select("conv_id", "turn", "s.*")
 
 
 @query(f"""WITH {_L3}, k AS (SELECT conv_id, turn, count(*) AS n FROM l3 GROUP BY conv_id, turn)
 SELECT c.conv_id, c.turn, sha256(text) AS restored_sha256, octet_length(encode(text)) AS n_bytes, CAST(CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 0 END AS BIGINT) AS shard_code, CAST(7 AS BIGINT) AS version, CAST(coalesce(n, 0) AS BIGINT) AS own_entries
 FROM conversations c LEFT JOIN k ON k.conv_id = c.conv_id AND k.turn = c.turn""")
 def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.shard_roundtrip(turns(spark, sf_dir), PATTERNS)
+    return shards.shard_roundtrip(dealt_turns(spark, sf_dir), PATTERNS)
 
 
 _LEARNED = f"""{_MINED}, w AS (SELECT conv_id, turn, p, row_number() OVER (PARTITION BY conv_id, p ORDER BY turn) AS k FROM mined WHERE saving >= 3),
@@ -231,7 +231,7 @@ def learn_encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frozen_roundtrip(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
-    t = turns(spark, sf_dir).withColumn("version", 1 + F.col("conv_id") % 3)
+    t = dealt_turns(spark, sf_dir).withColumn("version", 1 + F.col("conv_id") % 3)
     learned = vocab.mined(t, ["conv_id", "turn", "version"])
     pinned = vocab.top(learned.where("saving >= 3").groupBy("version", "pattern").agg(F.sum("freq").alias("freq"), F.sum("saving").alias("saving")), ["version"], learning.PINNED)
     pinned = tables.written(pinned, "pinned")
@@ -266,7 +266,8 @@ def frozen_interleaved_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def general_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5,000 best patterns of all documents, mined in chunks of 65,536 bytes. Without SQL, which would take hours:
     tests/test_vocab.py has brute force."""
-    docs = tables.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    tables.bounded(spark)
+    docs = tables.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     parts = corpus.chunks(docs.where("text is not null"), ["doc_id"], F.encode("text", "UTF-8"))
     return _hex(vocab.static_dictionary(vocab.mined(parts, ["doc_id", "chunk"], "data")))
 
