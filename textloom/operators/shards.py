@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import bytesview as B
 
+from textloom.tables import dealt
+
 from . import codecs, split
 
 
@@ -37,7 +39,7 @@ def _grouped(turns: DataFrame, key: str, order: str, text_col: str, size: int, t
 
     slim = batches(turns, key, order, size).select(key, "batch", order, F.encode(text_col, "UTF-8").alias("data"))
     slim = slim.join(history, key) if history is not None else slim
-    return slim.groupBy(key, "batch").applyInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, restored_sha256 string, n_bytes long, {name} {sql}" + "".join(f", {c} long" for c in more))
+    return dealt(slim, key, "batch", like=turns).groupBy(key, "batch").applyInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, restored_sha256 string, n_bytes long, {name} {sql}" + "".join(f", {c} long" for c in more))
 
 
 def batch_roundtrip(turns: DataFrame, key: str, order: str, text_col: str, size: int, majority: bool = False) -> DataFrame:
