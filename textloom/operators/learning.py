@@ -6,12 +6,15 @@ held as a whole; what is kept of it is its window, of at most the window's cap o
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.tables import dealt
+
 from . import codecs
 from .vocab import WINDOW_CAP
 from .windows import SessionWindow
@@ -40,13 +43,13 @@ def _in_order(df: DataFrame, key: str, order: str, columns: list[str], schema: s
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(columns, arrow))], [key, order, *names])
 
     arrow = [{"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}[x.strip().split(" ")[1]] for x in schema.split(",")]
-    sorted_ = df.select(key, order, *columns).repartition(key).sortWithinPartitions(key, order)
+    sorted_ = dealt(df.select(key, order, *columns), key).sortWithinPartitions(key, order)
     return sorted_.mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {schema}")
 
 
 def _matcher(window: SessionWindow) -> codecs.Matcher:
-    best = sorted((codecs.Entry(p, f, s) for p, f, s, _ in window.rows()), key=codecs.order_of)[:PINNED]
-    return codecs.Matcher([e.pattern for e in best])
+    best = heapq.nsmallest(PINNED, [(-v[1], -len(p), p) for p, v in window.entries.items()])  # in the order of codecs.order_of
+    return codecs.Matcher([p for _, _, p in best])
 
 
 def learn_encode(turns: DataFrame, key: str, order: str, text_col: str, cap: int = WINDOW_CAP) -> DataFrame:
@@ -127,7 +130,7 @@ def frozen_encode(rows: DataFrame, pinned: DataFrame, text_col: str, form: str =
     shared = rows.sparkSession.sparkContext.broadcast(_versions(pinned))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = {v: codecs.Matcher(p) for v, p in shared.value.items()}
+        matchers = {v: codecs.Matcher(p, kept=True) for v, p in shared.value.items()}
         none = codecs.Matcher([])
         for batch in batches:
             codes = [codecs.varint(v) + _frozen(bytes(d or b""), matchers.get(v, none), form) for v, d in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
