@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,54 @@ def test_costly_work_is_dealt_to_all_cores(spark, tmp_path):
 def test_costly_queries_keep_their_tasks(spark, sf, name):
     """A fixed number of them, which isn't lowered when their bytes are few."""
     assert "REPARTITION_BY_NUM" in QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_similar_rows_in_bounded_memory():
+    """4,000 queries against batches of 10,000 rows: their scores alone would be 320 MB at once."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(20_000, 8)), rng.normal(size=(4_000, 8))
+    own = pa.table({"query": np.arange(4_000) * 7, "q": q.tolist()})
+    batches = [pa.record_batch({"i": np.arange(a, a + 10_000), "v": [None if i % 5_000 == 3 else v for i, v in enumerate(x[a : a + 10_000].tolist())]}) for a in (0, 10_000)]
+    tracemalloc.start()
+    got = next(similarity._nearest(SimpleNamespace(value=own), 3, 0.3)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    found = defaultdict(list)
+    for i, j, s in zip(*(c.to_pylist() for c in got.columns)):
+        found[i].append((-round(s, 4), j))
+    scores = np.round(q[::97] @ x.T, 4)
+    for n, i in enumerate(range(0, 4_000, 97)):
+        best = sorted((-float(s), j) for j, s in enumerate(scores[n]) if j < 7 * i and j % 5_000 != 3 and s > 0.3)[:3]
+        assert [j for _, j in sorted(found[7 * i])[:3]] == [j for _, j in best]
+
+
+def test_runs_are_counted_where_the_texts_are(spark):
+    rows = [(1, 0, "the cat and the cat and the cat"), (1, 1, None), (2, 0, "\r\naaaaaaaaa\r\naaaaaaaaa\r\naaaaaaaaa"), (2, 0, "aaaaaaaaaaaaaaaaa"), (None, 3, "é" * 30), (3, 3, "short")]
+    df = vocab.ngram_counts(spark.createDataFrame(rows, "c long, t long, text string"), ["c", "t"], "text", 8)
+    want = defaultdict(int)
+    for c, t, x in rows:
+        data = (x or "").encode()
+        for i in range(len(data) - 7 if len(data) >= 16 else 0):
+            if data[i] >= 32 or data[i] == 10 or data[i] == 13 and i:
+                want[c, t, data[i : i + 8].decode("latin-1")] += 1
+    assert {(r.c, r.t, r.pattern): r.n for r in df.collect()} == {k: n for k, n in want.items() if n >= 3}
+    assert "Generate" not in df._jdf.queryExecution().toString()  # a row for each byte
+
+
+def test_batches_are_small(spark):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    for key in (rows, size):
+        spark.conf.unset(key)
+    tables.bounded(spark)
+    seen = spark.range(2_500).coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert max(r.n for r in seen) <= 1_000 and spark.conf.get(size) == str(8 << 20)
+    spark.conf.set(rows, "10")
+    tables.bounded(spark)
+    assert spark.conf.get(rows) == "10"
+    spark.conf.unset(rows)
+    tables.bounded(spark)
