@@ -5,13 +5,14 @@ Order is always: saving, longest, bytes. Patterns are binary columns.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.bytesview import byte_view
+from textloom.tables import bounded, dealt
 
 from . import codecs
 
@@ -20,13 +21,30 @@ L1_SLOTS, PROMOTE_TO_L2, PROMOTE_TO_L1 = 64, 2, 8
 
 
 def ngram_counts(chunks: DataFrame, keys: list[str], text_col: str, length: int) -> DataFrame:
-    """keys, pattern (byte view) and n: overlapping occurrences of runs of length bytes, those of 3 or more."""
-    view = chunks.select(*keys, byte_view(F.col(text_col)).alias("v")).where(F.length("v") >= 2 * length)
-    at = F.sequence(F.lit(1), F.length("v") - length + 1)
-    grams = view.select(*keys, F.posexplode(F.transform(at, lambda i: F.substring("v", i, F.lit(length)))).alias("at", "pattern"))
-    first = F.ascii(F.substring("pattern", 1, 1))
-    good = (first >= 32) | (first == 10) | ((first == 13) & (F.col("at") > 0))
-    return grams.where(good).groupBy(*keys, "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= codecs.MIN_COUNT)
+    """keys, pattern (byte view) and n: overlapping occurrences of runs of length bytes, those of 3 or more.
+
+    The texts of a key come together and are counted where they are, so that no row is made for each byte."""
+    bounded(chunks.sparkSession)
+    texts = dealt(chunks, *keys).groupBy(*keys).agg(F.collect_list(F.encode(text_col, "UTF-8")).alias("__texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, patterns, counts = [], [], []
+            for i, found in enumerate(batch.column(len(keys))):
+                runs: Counter[bytes] = Counter()
+                for data in found.as_py():
+                    if len(data) >= 2 * length:
+                        runs.update(data[j : j + length] for j in range(len(data) - length + 1) if (b := data[j]) >= 32 or b == 10 or b == 13 and j)
+                for p, n in runs.items():
+                    if n >= codecs.MIN_COUNT:
+                        at.append(i)
+                        patterns.append(p.decode("latin-1"))
+                        counts.append(n)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(keys))), pa.array(patterns, pa.string()), pa.array(counts, pa.int64())], [*keys, "pattern", "n"])
+
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields[: len(keys)])
+    return texts.mapInArrow(run, f"{head}, pattern string, n long")
 
 
 _CHUNKS = 128  # whose entries are made into rows at once
