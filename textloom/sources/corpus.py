@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Callable, Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,24 +150,30 @@ def _plain(data: bytes) -> bytes:
 
 
 def _binary(spark: SparkSession, path: str, rows, schema: str, kinds: list[pa.DataType]) -> DataFrame:
+    """The rows of each file, which a task holds one of at a time, and of its rows so many as a batch has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                columns = list(zip(*rows(_plain(bytes(data))))) or [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            for data in batch.column(0):
+                for some in batched(rows(_plain(data.as_py())), tables.BATCH_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names)
 
     names = [x.split()[0] for x in schema.split(", ")]
+    tables.bounded(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
-def _save(rows: DataFrame, path: str, made: Callable[[Iterator[pa.RecordBatch]], bytes]) -> None:
-    """A file of made(a task's batches) for each task that has rows, under path in the session's file system."""
-    rows.mapInArrow(lambda batches: iter([pa.RecordBatch.from_arrays([pa.array([made(batches)], pa.binary())], ["data"])]), "data binary").where("octet_length(data) > 0").select(F.concat(F.lit("base64:"), F.translate(F.base64("data"), "\r\n", "")).alias("value")).write.text(path)
+def _save(rows: DataFrame, path: str, made: Callable[[pa.RecordBatch], bytes]) -> None:
+    """A file of made(batch) for each Arrow batch that has rows, so that no task holds or reads more at once, under path in
+    the session's file system."""
+    tables.bounded(rows.sparkSession)
+    files = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([made(b)], pa.binary())], ["data"]) for b in batches), "data binary").where("octet_length(data) > 0")
+    files.select(F.concat(F.lit("base64:"), F.translate(F.base64("data"), "\r\n", "")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def save_batches(rows: DataFrame, col: str, path: str) -> None:
-    """(u32 length, bytes)* of each task's rows, as base64 text files: Spark has no writer of plain bytes."""
-    _save(rows.select(F.encode(col, "UTF-8")), path, lambda batches: b"".join(batch_file([bytes(x or b"") for x in b.column(0).to_pylist()]) for b in batches))
+    """(u32 length, bytes)* of each batch of rows, as base64 text files: Spark has no writer of plain bytes."""
+    _save(rows.select(F.encode(col, "UTF-8")), path, lambda b: batch_file([x.as_py() or b"" for x in b.column(0)]))
 
 
 def vector_file(words: list[tuple[str, list[float]]]) -> bytes:
@@ -182,16 +189,16 @@ def vector_file(words: list[tuple[str, list[float]]]) -> bytes:
 
 
 def save_vectors(rows: DataFrame, path: str) -> None:
-    """A vector file of each task's rows (word, vec), as base64 text files."""
-    _save(rows.select("word", "vec"), path, lambda batches: vector_file([x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]))
+    """A vector file of each batch of rows (word, vec), as base64 text files."""
+    _save(rows.select("word", "vec"), path, lambda b: vector_file(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))))
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    return _binary(spark, path, lambda d: [(x,) for x in batch_items(d)], "data binary", [pa.binary()])
+    return _binary(spark, path, lambda d: ((x,) for x in batch_items(d)), "data binary", [pa.binary()])
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return _binary(spark, path, lambda d: list(vector_rows(d)), "word string, vec array<float>", [pa.string(), pa.list_(pa.float32())])
+    return _binary(spark, path, vector_rows, "word string, vec array<float>", [pa.string(), pa.list_(pa.float32())])
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
