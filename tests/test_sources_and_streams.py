@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import codecs, vocab
+from textloom.plans import corpora
 from textloom.sources import corpus
 from textloom.streaming import window
 
@@ -74,3 +75,19 @@ def test_window_at_cap():
     w.batches += 60
     w.evict()
     assert not w.entries
+
+
+def test_files_of_bounded_size(spark, tmp_path):
+    """A task of many rows writes several files, as a file is read as a whole; so does an export of many tasks."""
+    rows = spark.range(2_500).selectExpr("cast(id as string) as word", "array(cast(id as float), 0.5f) as vec").coalesce(1)
+    corpus.save_batches(rows, "word", str(tmp_path / "b"))
+    corpus.save_vectors(rows, str(tmp_path / "v"))
+    for there in ("b", "v"):
+        assert len(list((tmp_path / there).glob("part-*"))) == 3
+    assert sorted(int(bytes(r.data)) for r in corpus.read_batches(spark, str(tmp_path / "b")).collect()) == list(range(2_500))
+    assert sorted((int(r.word), *r.vec) for r in corpus.read_vectors(spark, str(tmp_path / "v")).collect()) == [(i, i, 0.5) for i in range(2_500)]
+    export = rows.repartition(3).selectExpr("array(struct(concat('word number ', word) as text, 'a' as sender)) as messages")
+    path = corpora._array_file(export, str(tmp_path / "e"))
+    files = list((tmp_path / "e").glob("part-*"))
+    assert len(files) == 3 and sum(len(json.loads(f.read_text())) for f in files) == 2_500
+    assert corpus.export_json(spark, path, 5).distinct().count() == 2_500

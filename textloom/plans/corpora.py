@@ -111,7 +111,9 @@ _LONG = "length(text) > 200 AND length(text) < 3000"
 
 def _turns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation a row, with its turns in order."""
-    rows = turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    tables.bounded(spark)
+    t = turns(spark, sf_dir)
+    rows = tables.dealt(t, "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     return rows.select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("texts"))
 
 
@@ -120,8 +122,9 @@ def _counted(df: DataFrame) -> DataFrame:
 
 
 def _array_file(rows: DataFrame, path: str) -> str:
-    """rows as one JSON array, the form of chat exports; they are joined by the one task that writes the file."""
-    rows.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).mapInArrow(_as_array, "value string").write.text(path)
+    """rows as files of one JSON array each, the form of chat exports. A file is read by one task, so there is one of some
+    megabytes for each task that writes, instead of one of all rows."""
+    rows.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(_as_array, "value string").write.text(path)
     return path
 
 
@@ -183,7 +186,7 @@ def load_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sha256(text) AS text_sha256, count(*) AS n FROM documents GROUP BY text")
 def load_batch_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length-prefixed batches, one file a task, read back item by item."""
+    """Length-prefixed batches, one file for some thousand rows, read back item by item."""
     path = tables.scratch(spark, "batches")
     corpus.save_batches(docs(spark, sf_dir), "text", path)
     return corpus.read_batches(spark, path).groupBy(F.sha2("data", 256).alias("text_sha256")).agg(F.count("*").alias("n"))
@@ -191,7 +194,7 @@ def load_batch_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 4) AS total, len(embedding) AS n FROM embeddings")
 def load_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word vectors in their binary form, one file a task."""
+    """Word vectors in their binary form, one file for some thousand rows."""
     path = tables.scratch(spark, "vectors")
     corpus.save_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec")), path)
     total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
