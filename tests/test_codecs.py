@@ -224,3 +224,17 @@ def test_nothing_is_tokenized_twice(monkeypatch):
     assert len(calls) == 1
     c.compress_batch(messages, majority=True)
     assert len(calls) == 1 + len(messages)
+
+
+@settings(max_examples=60, deadline=None)
+@given(data=st.lists(st.sampled_from([b"the quick brown ", b"a", b"\x00", b"\r", b"\n", b"\r\n", b"aaaaaaa", b"\xff", "é".encode()]), min_size=8, max_size=150).map(b"".join))
+def test_candidates_of_long_texts(data):
+    if len(data) >= 8:
+        assert c._long_candidates(data) == c.undominated(c.count_patterns(data))
+
+
+def test_long_texts_are_mined_without_a_byte_string_for_each_run(monkeypatch):
+    text = b"".join(b"%d bottles of beer on the wall, take %d down\r\n" % (i % 99, i % 7) for i in range(1500))
+    want = c.select(c.undominated(c.count_patterns(text)))
+    monkeypatch.setattr(c, "count_patterns", None)
+    assert c.mine(text) == want
