@@ -238,3 +238,20 @@ def test_long_texts_are_mined_without_a_byte_string_for_each_run(monkeypatch):
     want = c.select(c.undominated(c.count_patterns(text)))
     monkeypatch.setattr(c, "count_patterns", None)
     assert c.mine(text) == want
+
+
+def test_order1_of_short_and_long_texts(monkeypatch):
+    """Both ways to find a slot give the same bytes, and cut or foreign codes raise in either."""
+    text = b"the quick brown fox jumps over the lazy dog, " * 60
+    tables = c.smoothed_order1([text])
+    for given in (None, tables):
+        code = c.order1_encode(text, given)
+        for short in (0, 1 << 20):
+            monkeypatch.setattr(c, "_SHORT", short)
+            assert c.order1_decode(code, given) == text and c.order1_decode(c.order1_encode(b"", given), given) == b""
+            with pytest.raises(c.CodecError):
+                c.order1_decode(code[: len(code) // 2], given)
+    for short in (0, 1 << 20):
+        monkeypatch.setattr(c, "_SHORT", short)
+        with pytest.raises(c.CodecError, match="bad_token"):
+            c.order1_decode(c.order1_encode(text, tables), {1: tables[1]})
