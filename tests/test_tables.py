@@ -140,7 +140,7 @@ def test_costly_work_is_dealt_to_all_cores(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-@pytest.mark.parametrize("name", "content_identity_dups general_dictionary pipeline_order1_roundtrip ans_o1_roundtrip window_snapshot_roundtrip batch_roundtrip learn_encode_roundtrip tier_stats".split())
+@pytest.mark.parametrize("name", "codec_ratios content_identity_dups general_dictionary pipeline_order1_roundtrip ans_o1_roundtrip window_snapshot_roundtrip batch_roundtrip learn_encode_roundtrip tier_stats".split())
 def test_costly_queries_keep_their_tasks(spark, sf, name):
     """A fixed number of them, which isn't lowered when their bytes are few."""
     assert "REPARTITION_BY_NUM" in QUERIES[name](spark, sf)._jdf.queryExecution().toString()
