@@ -1,5 +1,6 @@
 """The shared folder, global places, split streams as columns, learned encoding and real codec sizes."""
 
+import re
 import zlib
 from collections import defaultdict
 from types import SimpleNamespace
@@ -195,3 +196,9 @@ def test_batches_are_small(spark):
     assert spark.conf.get(rows) == "10"
     spark.conf.unset(rows)
     tables.bounded(spark)
+
+
+@pytest.mark.parametrize("name", "batch_roundtrip majority_batch_roundtrip learn_encode_roundtrip".split())
+def test_grouped_queries_keep_their_tasks(spark, sf, name):
+    """The exchange that brings a group together has a fixed number of partitions, too."""
+    assert re.search(r"hashpartitioning\(conv_id[^)]*\), REPARTITION_BY_NUM", QUERIES[name](spark, sf)._jdf.queryExecution().toString())
